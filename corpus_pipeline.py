@@ -4,17 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import near_dedup
+from quern.llm import line_dedup, mixing, near_dedup, packing, toxicity
 from quern.llm.scratch import keep
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity scan rejects go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat stay in one document only; documents that had nothing else go."""
+    return line_dedup.dedup_lines(docs, drop_emptied=True, count_col=None)
+
+
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("minhash_dedup", minhash_dedup)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many documents as there are, sources weighing the square roots of their numbers."""
+    return mixing.mix_sources(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Related documents share windows."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", line_dedup_stage), ("minhash_dedup", minhash_dedup), ("mixing", mix), ("packing", pack)]
 
+#: Scores, sketches and the graph have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
