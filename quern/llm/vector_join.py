@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import BROADCAST_BYTES, importable, keep, stored_bytes
 
-THRESHOLD, CELL, TILE, PIVOTS, GAIN = 0.9, 4096, 2048, 64, 0.7
+THRESHOLD, CELL, TILE, PIVOTS, GAIN, TASKS = 0.9, 4096, 8192, 64, 0.7, 4000
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -79,18 +79,21 @@ def _split(v: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray, n
     return rows, p, home[rows] == p
 
 
-def _parted(rows: DataFrame, pivots: DataFrame, eps: float) -> DataFrame:
-    """``rows`` of the cells that have pivots, in the cells these make; ``parent`` is the cell they come from."""
+def _parted(rows: DataFrame, pivots: DataFrame, eps: float, counts: bool = False) -> DataFrame:
+    """``rows`` of the cells that have pivots, in the cells these make; ``parent`` is the cell they come from. Or only how many there are: (parent, cell, m, o), o at home."""
     kind = rows.schema["id"].dataType.simpleString()
-    out = f"id {kind}, cell string, vec binary, home boolean, parent string"
+    out = "parent string, cell string, m bigint, o bigint" if counts else f"id {kind}, cell string, vec binary, home boolean, parent string"
 
     def cut(t, p: np.ndarray, cell: str):
         at, q, own = _split(_vectors(t.column("vec")), p, eps)
+        home = np.asarray(t.column("home"))[at] & own
+        if counts:
+            m, o = np.bincount(q, minlength=len(p)), np.bincount(q[home], minlength=len(p))
+            return [pa.array([cell] * len(p), pa.string()), pa.array([f"{cell}.{x}" for x in range(len(p))], pa.string()), pa.array(m), pa.array(o)]
         take = pa.array(at)
-        home = np.asarray(t.column("home").combine_chunks() if isinstance(t.column("home"), pa.ChunkedArray) else t.column("home"))[at] & own
         return [t.column("id").take(take), pa.array([f"{cell}.{x}" for x in q.tolist()], pa.string()), t.column("vec").take(take), pa.array(home), pa.array([cell] * len(at), pa.string())]
 
-    names = ["id", "cell", "vec", "home", "parent"]
+    names = ["parent", "cell", "m", "o"] if counts else ["id", "cell", "vec", "home", "parent"]
     if stored_bytes(pivots) * 2 <= BROADCAST_BYTES:
         held: dict[str, np.ndarray] = {}
         for r in pivots.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("k", "vec"))).alias("p")).collect():
@@ -131,13 +134,15 @@ def cells(units: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> l
         want = F.least(F.lit(PIVOTS), F.ceil(F.col("n") * 2 / F.lit(cell))).cast("int")
         w = Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id")
         chosen = rows.where("home").join(large.select("cell", want.alias("want")), "cell").withColumn("k", F.row_number().over(w)).where(f"k <= {PIVOTS} and k <= want").select("cell", "k", "vec")
-        parted = keep(_parted(rows, keep(chosen, "pivots"), eps), "parted")
-        now = parted.groupBy("parent", "cell").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("home").cast("long")).alias("o")).groupBy("parent").agg(F.sum(F.col("m").cast("double") * F.col("o")).alias("cost"))
+        pivots = keep(chosen, "pivots")
+        # copies are counted before any is written
+        now = _parted(rows, pivots, eps, counts=True).groupBy("parent", "cell").agg(F.sum("m").alias("m"), F.sum("o").alias("o")).groupBy("parent").agg(F.sum(F.col("m").cast("double") * F.col("o")).alias("cost"))
         better = keep(large.join(now, large["cell"] == now["parent"]).where(F.col("cost") < GAIN * F.col("n").cast("double") * F.col("own")).select("parent"), "better")
         done.append(rows.join(better, rows["cell"] == better["parent"], "left_anti"))
         if better.isEmpty():
             break
-        rows = keep(parted.join(better, "parent", "left_semi").select("id", "cell", "vec", "home"), "parts")
+        there = rows.join(better, rows["cell"] == better["parent"], "left_semi")
+        rows = keep(_parted(there, keep(pivots.join(better, pivots["cell"] == better["parent"], "left_semi"), "pivots"), eps).select("id", "cell", "vec", "home"), "parts")
     return done
 
 
@@ -167,10 +172,13 @@ def _settle(n: int, edges) -> np.ndarray:
 
 
 def _tiles(part: DataFrame, tile: int) -> DataFrame:
-    n = part.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(tile))).cast("int").alias("blocks"))
+    n = keep(part.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(tile))).cast("int").alias("blocks")), "blocks")
+    # a tile's work is the square of its size, so tasks are cut by tiles, not by bytes
+    tiles = n.agg(F.sum(F.expr("blocks * (blocks + 1) / 2"))).first()[0] or 1
     rows = part.join(n, "cell").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    return rows.select("*", other).select("id", "vec", "home", "block", "cell", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
+    out = rows.select("*", other).select("id", "vec", "home", "block", "cell", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
+    return out.repartition(int(min(TASKS, max(1, tiles))), "cell", "x", "y")
 
 
 def near_pairs(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, cell: int = CELL, tile: int = TILE) -> DataFrame:
