@@ -88,7 +88,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hist = binned.groupBy(src, "bin").agg(F.count(F.lit(1)).alias("n"))
     cum = F.sum("n").over(Window.partitionBy(src).orderBy("bin"))
     lefts = spark.createDataFrame([(a, b) for a, b in left.items()], f"`{src}_` string, left_ long")
-    edge = hist.withColumn("cum", cum).join(F.broadcast(lefts), F.col(src).eqNullSafe(F.col(src + "_"))).where("left_ > 0 and cum >= left_ and cum - n < left_").select(F.col(src + "_"), "bin", (F.col("left_") - (F.col("cum") - F.col("n"))).alias("take"))
+    edge = hist.withColumn("cum", cum).join(F.broadcast(lefts) if len(by) < 100_000 else lefts, F.col(src).eqNullSafe(F.col(src + "_"))).where("left_ > 0 and cum >= left_ and cum - n < left_").select(F.col(src + "_"), "bin", (F.col("left_") - (F.col("cum") - F.col("n"))).alias("take"))
     edge = keep(edge, "mix-edge").withColumnRenamed("bin", "bin_")
     at = binned.join(small_side(edge, 48), F.col(src).eqNullSafe(F.col(src + "_")) & (F.col("bin") == F.col("bin_")))
     rank = F.row_number().over(Window.partitionBy(src).orderBy(key, F.col(idk).asc_nulls_first()))
