@@ -1,11 +1,13 @@
 """Packing of related documents into fixed windows.
 
-Each text's words are hashed to ``WIDTH`` features; the principal directions of the features of all
-documents give every document a point of ``DIMS`` coordinates. Documents of equal points are one node. An exact search joins every
-node to its ``K`` nearest others: points are cut into slabs of equal counts, coordinate after
-coordinate, into cells; a node first searches its own cell, then every other cell that its ball (the
-radius of the K-th found) reaches, and no further one. In each region (the cells of the last cut
-together) greedy paths are walked over the graph: the unvisited node of the least degree begins, the
+Each text's words are hashed to ``WIDTH`` features; the square roots of their counts, at length one,
+are a document's point of ``DIMS`` coordinates. Documents of equal features are one node. Every node is
+joined to its ``K`` nearest others over all coordinates: centroids of about equal numbers of nodes (from
+a sample halved again and again along its principal direction) give every node a cell; a node is compared with all
+nodes of the ``probes`` cells whose centroids are nearest. ``probes`` is set anew for each table: sampled nodes
+are compared with every node there is, and as many cells are searched as hold ``RECALL`` of their true
+neighbours; at ``LEAST`` cells or fewer all are searched and the graph is exact. In each region (adjacent cells) greedy
+paths are walked over the graph: the unvisited node of the least degree begins, the
 nearest unvisited neighbour follows, until none is left. Windows are filled along each path with its documents'
 words; a document that doesn't fit goes on in the next window.
 
@@ -24,13 +26,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import importable, keep, small_side
 from .textbuf import slices, word_hashes
 
-WINDOW, K, DIMS, WIDTH, CELL, SCALE, BIN = 2048, 8, 4, 128, 1024, 1_000_000, 1 << 9
+WINDOW, K, DIMS, WIDTH, CELL, SCALE = 2048, 8, 128, 128, 1024, 1_000_000
+#: Share of true neighbours to find, cells searched at least, nodes of a region, nodes that are compared with all others.
+RECALL, LEAST, REGION, SAMPLE = 0.93, 32, 12288, 512
+#: What 32-bit products may be wrong by; pairs within it are compared again in whole numbers.
+EPS = 1e-5
 
 
 def features(h: np.ndarray, first: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -64,132 +70,173 @@ def _words(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
     return rows.mapInArrow(run, f"rid bigint, id {kind}, n bigint, f binary")
 
 
-def directions(rows: DataFrame, dims: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, (width, dims)) from the moments of all documents; the driver gets one matrix."""
+def _whole(x: np.ndarray) -> np.ndarray:
+    """The coordinates in whole numbers: squared distances of them are exact."""
+    return np.rint(x * SCALE)
 
-    def partial(batches):
-        s = np.zeros((width + 1, width))
-        n = 0
+
+def _share(nodes: DataFrame, want: int, count: int) -> DataFrame:
+    """About ``want`` of ``count`` nodes, chosen by the hash of their number."""
+    return nodes.where(F.pmod(F.xxhash64("nid"), F.lit(1 << 30)) < int(min(1.0, want / max(count, 1)) * (1 << 30)))
+
+
+def centroids(nodes: DataFrame, count: int, cell: int, width: int) -> np.ndarray:
+    """(cells, width): means of a sample's parts, adjacent ones beside each other; the largest part is halved along its principal direction until there is one for each ``cell`` nodes."""
+    cells = max(1, math.ceil(count / cell))
+    sample = _share(nodes, max(1 << 16, 16 * cells), count).select("nid", "f").toPandas().sort_values("nid")
+    x = _units(sample["f"].tolist(), width).astype(np.float32)
+    parts = [(-len(x), "", np.arange(len(x)))]
+    while len(parts) < cells and parts[0][0] < -1:
+        _, code, at = heapq.heappop(parts)
+        y = x[at] - x[at].mean(0)
+        v = np.ones(width, np.float32) + np.arange(width, dtype=np.float32) / width
+        for _ in range(8):
+            v = y.T @ (y @ v)
+            v /= max(float(np.sqrt((v * v).sum())), 1e-30)
+        order = at[np.argsort(y @ v, kind="stable")]
+        half = len(order) // 2
+        for c, part in (("0", order[:half]), ("1", order[half:])):
+            heapq.heappush(parts, (-len(part), code + c, part))
+    return np.stack([x[at].mean(0) for _, _, at in sorted(parts, key=lambda p: p[1]) if len(at)]) if len(x) else np.zeros((1, width), np.float32)
+
+
+def _close(x: np.ndarray, cent: np.ndarray) -> np.ndarray:
+    """(points, cells): the greater, the nearer the centroid."""
+    return x @ cent.T - (cent * cent).sum(1) / 2
+
+
+def _probed(x: np.ndarray, cent: np.ndarray, probes: int) -> np.ndarray:
+    """(points, probes): the cells that each point searches."""
+    if probes >= len(cent):
+        return np.tile(np.arange(len(cent)), (len(x), 1))
+    return np.concatenate([np.argpartition(-_close(x[i : i + 2048], cent), probes - 1, axis=1)[:, :probes] for i in range(0, len(x), 2048)]) if len(x) else np.zeros((0, probes), np.int64)
+
+
+def celled(nodes: DataFrame, cent: np.ndarray) -> DataFrame:
+    """(nid, f, cell)"""
+    shared = nodes.sparkSession.sparkContext.broadcast(cent)
+    width = cent.shape[1]
+
+    def run(batches):
         for b in batches:
             if b.num_rows:
-                x = _units(b.column(0).to_pylist(), width)
-                s[:width] += x.T @ x
-                s[width] += x.sum(0)
-                n += len(x)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(range(width + 1), pa.int32()), pa.array([r.tobytes() for r in s], pa.binary()), pa.array([n] * (width + 1), pa.int64())], names=["i", "s", "n"])
-
-    def total(key, t):
-        s = np.frombuffer(b"".join(t.column("s").to_pylist()), np.float64).reshape(-1, width)
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([s.sum(0).tobytes()], pa.binary()), pa.array([sum(t.column("n").to_pylist())], pa.int64())], names=["i", "s", "n"])
-
-    got = sorted(rows.select("f").mapInArrow(partial, "i int, s binary, n bigint").groupBy("i").applyInArrow(total, "i int, s binary, n bigint").collect(), key=lambda r: r["i"])
-    if not got:
-        return np.zeros(width), np.zeros((width, dims))
-    n = got[0]["n"]
-    m = np.stack([np.frombuffer(bytes(r["s"]), np.float64) for r in got]) / n
-    cov = m[:width] - np.outer(m[width], m[width])
-    _, vectors = np.linalg.eigh(cov)
-    e = vectors[:, ::-1][:, :dims]
-    sign = np.sign(e[np.abs(e).argmax(0), np.arange(dims)])
-    return m[width], e * np.where(sign == 0, 1, sign)
-
-
-def _points(rows: DataFrame, mean: np.ndarray, e: np.ndarray) -> DataFrame:
-    kind, dims, width = rows.schema["id"].dataType.simpleString(), e.shape[1], len(mean)
+                x = _units(b.column("f").to_pylist(), width).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([b.column("nid"), b.column("f"), pa.array(_close(x, shared.value).argmax(1).astype(np.int32))], names=["nid", "f", "cell"])
+
+    return nodes.select("nid", "f").mapInArrow(run, "nid bigint, f binary, cell int")
+
+
+def probes_for(nodes: DataFrame, count: int, cent: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """How many cells hold ``recall`` of the k true neighbours of sampled nodes, which are compared with all nodes."""
+    if len(cent) <= LEAST:
+        return len(cent)
+    width = cent.shape[1]
+    sample = _share(nodes, SAMPLE, count).select("nid", "f").toPandas().sort_values("nid").iloc[: 2 * SAMPLE]
+    if not len(sample):
+        return len(cent)
+    mine, x = sample["nid"].to_numpy(), _units(sample["f"].tolist(), width).astype(np.float32)
+    shared = nodes.sparkSession.sparkContext.broadcast((mine, x))
 
     def run(batches):
+        mine, x = shared.value
+        best, where = np.full((len(x), k), -np.inf, np.float32), np.full((len(x), k), -1, np.int32)
         for b in batches:
-            if b.num_rows:
-                z = np.rint((_units(b.column("f").to_pylist(), width) - mean) @ e * SCALE).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("id"), b.column("n"), *(pa.array(np.ascontiguousarray(z[:, j])) for j in range(dims))], names=["rid", "id", "n", *(f"z{j}" for j in range(dims))])
-
-    return rows.mapInArrow(run, f"rid bigint, id {kind}, n bigint, " + ", ".join(f"z{j} bigint" for j in range(dims)))
-
-
-def _slabs(nodes: DataFrame, j: int, s: int) -> DataFrame:
-    """(p, slab, lo, hi): the slabs of coordinate j in each part p, about equal in counts; lo and hi are in units of ``BIN``."""
-    hist = nodes.groupBy("p", F.expr(f"z{j} div {BIN} - if(z{j} < 0 and z{j} % {BIN} <> 0, 1, 0)").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("p")
-    part = hist.withColumn("all", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n"))
-    return part.groupBy("p", F.expr(f"before * {s} div all").alias("slab")).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-
-
-def tree(nodes: DataFrame, dims: int, cell: int) -> tuple[DataFrame, list[DataFrame], int]:
-    """(nodes with their cell, slabs level by level, slabs a cut)."""
-    s = max(1, math.ceil((nodes.count() / cell) ** (1 / dims)))
-    nodes, levels = nodes.withColumn("p", F.lit(0).cast("bigint")), []
-    for j in range(dims):
-        slabs = keep(_slabs(nodes, j, s), "slabs")
-        levels.append(slabs)
-        side = small_side(slabs.select(F.col("p").alias("q"), "slab", "lo", "hi"), 40)
-        nodes = keep(nodes.join(side, (F.col("p") == F.col("q")) & (F.col(f"z{j}") >= F.col("lo") * BIN) & (F.col(f"z{j}") < (F.col("hi") + 1) * BIN)).withColumn("p", F.col("p") * s + F.col("slab")).drop("q", "slab", "lo", "hi"), "nodes")
-    return nodes, levels, s
-
-
-def _nearest(q: np.ndarray, qid: np.ndarray, t: np.ndarray, tid: np.ndarray, k: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, target, squared distance): the k nearest other targets of each query, ties by id, none beyond ``limit``."""
-    out = []
-    for lo in range(0, len(q), 256):
-        d = ((q[lo : lo + 256, None, :] - t[None, :, :]) ** 2).sum(-1)
-        d[qid[lo : lo + 256, None] == tid[None, :]] = np.inf
-        edge = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
-        if limit is not None:
-            edge = np.minimum(edge, limit[lo : lo + 256])
-        i, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
-        order = np.lexsort((tid[j], d[i, j], i))
-        i, j = i[order], j[order]
-        first = np.searchsorted(i, np.arange(len(d)))
-        top = np.arange(len(i)) - first[i] < k
-        out.append((i[top] + lo, j[top], d[i[top], j[top]]))
-    return tuple(np.concatenate([o[x] for o in out]) for x in range(3)) if out else (np.zeros(0, int),) * 3
-
-
-def _coords(t, dims: int) -> np.ndarray:
-    return np.stack([np.asarray(t.column(f"z{j}")) for j in range(dims)], axis=1).astype(np.float64)
-
-
-def neighbours(nodes: DataFrame, levels: list[DataFrame], s: int, dims: int, k: int) -> DataFrame:
-    """(a, b, d): the k nearest nodes b of each node a, exactly, with their squared distance."""
-    zs = [f"z{j}" for j in range(dims)]
-    probe = nodes.orderBy(F.xxhash64("nid"), "nid").limit(16 * k).select("nid", *zs).toPandas()
-    far, far_id = probe[zs].to_numpy(np.float64).reshape(-1, dims), probe["nid"].to_numpy()
-
-    def own(key, t):
-        z, ids = _coords(t, dims), np.asarray(t.column("nid"))
-        i, j, d = _nearest(z, ids, z, ids, k)
-        n = np.bincount(i, minlength=len(ids))
-        return pa.table([pa.array(ids[i]), pa.array(ids[j]), pa.array(d)], names=["a", "b", "d"]) if n.size else None
-
-    found = keep(nodes.select("p", "nid", *zs).groupBy("p").applyInArrow(own, "a bigint, b bigint, d double"), "own")
-    reach = found.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.max("d").alias("r")).where(f"m = {k}")
-    q = nodes.select("p", "nid", *zs).join(reach.select(F.col("a").alias("nid"), "r"), "nid", "left")
-
-    def bounded(batches):
-        # nodes of a cell with too few others: the k-th distance to nodes from anywhere bounds the search
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                s = x @ _units(part.column("f").to_pylist(), width).astype(np.float32).T
+                s[mine[:, None] == np.asarray(part.column("nid"))[None, :]] = -np.inf
+                s = np.concatenate([best, s], axis=1)
+                cell = np.concatenate([where, np.tile(np.asarray(part.column("cell")), (len(x), 1))], axis=1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best, where = np.take_along_axis(s, top, 1), np.take_along_axis(cell, top, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(x)), k)), pa.array(best.ravel().astype(np.float64)), pa.array(where.ravel())], names=["i", "s", "cell"])
+
+    found = nodes.mapInArrow(run, "i bigint, s double, cell int").where("cell >= 0").toPandas().sort_values(["i", "s"], ascending=[True, False]).groupby("i").head(k)
+    score = _close(x, cent)
+    rank = (score[found["i"].to_numpy()] > score[found["i"].to_numpy(), found["cell"].to_numpy()][:, None]).sum(1)
+    need = int(np.sort(rank)[max(0, math.ceil(len(rank) * recall) - 1)]) + 1
+    return min(len(cent), max(LEAST, need))
+
+
+class Nearest:
+    """The k nearest targets of each query so far, by whole-number distance and then by number."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, k: int):
+        self.x, self.z, self.ids, self.k = x.astype(np.float32), _whole(x), ids, k
+        self.d, self.b = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def look(self, at: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        """Compare the queries ``at`` with the targets."""
+        t, z = x.astype(np.float32).T, _whole(x)
+        for lo in range(0, len(at), 2048):
+            q = at[lo : lo + 2048]
+            s = self.x[q] @ t
+            least = 1 - self.d[q, -1] / (2.0 * SCALE * SCALE)
+            if s.shape[1] > self.k + 1 and np.isinf(least).any():
+                new = np.isinf(least)
+                least[new] = np.partition(s[new], s.shape[1] - self.k - 1, axis=1)[:, s.shape[1] - self.k - 1]
+            hit = np.flatnonzero(s >= (least - EPS).astype(np.float32)[:, None])
+            for h in range(0, len(hit), 1 << 16):
+                i, j = np.divmod(hit[h : h + (1 << 16)], s.shape[1])
+                other = self.ids[q[i]] != ids[j]
+                i, j = i[other], j[other]
+                self._merge(q[i], ((self.z[q[i]] - z[j]) ** 2).sum(1), ids[j])
+
+    def _merge(self, i: np.ndarray, d: np.ndarray, b: np.ndarray) -> None:
+        rows = np.unique(i)
+        i = np.concatenate([i, np.repeat(rows, self.k)])
+        d, b = np.concatenate([d, self.d[rows].ravel()]), np.concatenate([b, self.b[rows].ravel()])
+        order = np.lexsort((b, d, i))
+        i = i[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        top = place < self.k
+        self.d[i[top], place[top]], self.b[i[top], place[top]] = d[order][top], b[order][top]
+
+    def links(self) -> pa.Table:
+        i, j = np.nonzero(np.isfinite(self.d))
+        return pa.table([pa.array(self.ids[i]), pa.array(self.b[i, j]), pa.array(self.d[i, j])], names=["a", "b", "d"])
+
+
+def neighbours(nodes: DataFrame, cent: np.ndarray, region: np.ndarray, probes: int, k: int) -> DataFrame:
+    """(a, b, d): the k nearest nodes b of each node a among those of the ``probes`` cells it searches, with their squared distance."""
+    width = cent.shape[1]
+    shared = nodes.sparkSession.sparkContext.broadcast((cent, region))
+
+    def wanted(batches):
+        cent, region = shared.value
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            r = np.asarray(b.column("r").cast(pa.float64()).fill_null(np.nan)).copy()
-            for x in np.flatnonzero(np.isnan(r)):
-                z = np.array([b.column(c)[x].as_py() for c in zs], float)
-                d = np.sort(((far - z) ** 2).sum(1)[far_id != b.column("nid")[x].as_py()])
-                r[x] = d[k - 1] if len(d) >= k else np.inf
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("p", "nid", *zs)), pa.array(r)], names=["p", "nid", *zs, "r"])
-
-    q = q.mapInArrow(bounded, "p bigint, nid bigint, " + ", ".join(f"{c} bigint" for c in zs) + ", r double").select(F.col("p").alias("home"), "nid", *zs, "r", F.col("r").alias("rem"), F.lit(0).cast("bigint").alias("c"))
-    for j, slabs in enumerate(levels):
-        side = small_side(slabs, 40)
-        gap = F.greatest(F.lit(0).cast("bigint"), F.col("lo") * BIN - F.col(f"z{j}"), F.col(f"z{j}") - (F.col("hi") + 1) * BIN + 1).cast("double")
-        q = q.join(side, q["c"] == side["p"]).withColumn("rem", F.col("rem") - gap * gap).where("rem >= 0").withColumn("c", F.col("c") * s + F.col("slab")).drop("p", "slab", "lo", "hi")
-
-    def other(key, left, right):
-        t, tid = _coords(left, dims), np.asarray(left.column("nid"))
-        z, ids = _coords(right, dims), np.asarray(right.column("nid"))
-        i, j, d = _nearest(z, ids, t, tid, k, np.asarray(right.column("r"))) if len(t) and len(z) else (np.zeros(0, int),) * 3
-        return pa.table([pa.array(ids[i]), pa.array(tid[j]), pa.array(d, pa.float64())], names=["a", "b", "d"])
-
-    more = nodes.select("p", "nid", *zs).groupBy("p").cogroup(q.where("c <> home").select(F.col("c").alias("p"), "nid", *zs, "r").groupBy("p")).applyInArrow(other, "a bigint, b bigint, d double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, k)
-    return found.unionByName(more).groupBy("a").agg(best.alias("x")).select("a", F.explode("x").alias("x")).select("a", "x.b", "x.d")
+            if b.num_rows:
+                cells = _probed(_units(b.column("f").to_pylist(), width).astype(np.float32), cent, probes)
+                key = np.unique(region[np.asarray(b.column("cell"))][:, None] * len(cent) + cells)
+                seen |= set(zip((key // len(cent)).tolist(), (key % len(cent)).tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in seen], pa.int64()), pa.array([c for _, c in seen], pa.int32())], names=["region", "cell"])
+
+    wants = keep(nodes.select("f", "cell").mapInArrow(wanted, "region bigint, cell int").distinct(), "wants")
+    copies = nodes.select("cell", "nid", "f").join(small_side(wants, 24), "cell").select(*(F.col(c).alias(c) for c in ("region", "cell", "nid", "f")))
+
+    def search(key, left, right):
+        cent, _ = shared.value
+        near = Nearest(_units(right.column("f").to_pylist(), width), np.asarray(right.column("nid")), k)
+        home, cell, ids, raw = np.asarray(right.column("cell")), np.asarray(left.column("cell")), np.asarray(left.column("nid")), left.column("f").combine_chunks()
+        at = np.argsort(cell, kind="stable")
+        names, first = np.unique(cell[at], return_index=True)
+        part = dict(zip(names.tolist(), np.split(at, first[1:])))
+        ask = _probed(near.x, cent, probes)
+        who = np.repeat(np.arange(len(home)), ask.shape[1])
+        flat = ask.ravel()
+        own = flat == home[who]
+        for use in (own, ~own):  # a node's own cell first: it bounds the others
+            w, c = who[use], flat[use]
+            order = np.argsort(c, kind="stable")
+            cells, begin = np.unique(c[order], return_index=True)
+            for name, asking in zip(cells.tolist(), np.split(w[order], begin[1:])):
+                if name in part:
+                    near.look(asking, _units(raw.take(pa.array(part[name])).to_pylist(), width), ids[part[name]])
+        return near.links()
+
+    asking = nodes.select(*(F.col(c).alias(c) for c in ("region", "nid", "cell", "f")))
+    return copies.groupBy("region").cogroup(asking.groupBy("region")).applyInArrow(search, "a bigint, b bigint, d double")
 
 
 def walk(ids: np.ndarray, degree: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> list[list[int]]:
@@ -235,26 +282,44 @@ def fill(lengths: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     return doc, win, slot, start, end
 
 
-def graph(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, dims: int = DIMS, width: int = WIDTH, cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(documents with their node, nodes with cells, links, slabs a cut)."""
-    rows = keep(_words(docs, id_col, text_col, width), "features")
-    zs = [f"z{j}" for j in range(dims)]
-    points = keep(_points(rows, *directions(rows, dims, width)), "points")
-    nodes = keep(points.groupBy(*zs).agg(F.min("rid").alias("nid")), "nodes")
-    nodes, levels, s = tree(nodes, dims, cell)
-    links = keep(neighbours(nodes, levels, s, dims, k), "links")
-    return points, nodes, links, s
+def _graph(docs: DataFrame, id_col: str, text_col: str, k: int, width: int, cell: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """(documents, nodes with cell and region, links, cells, cells that each node searches)."""
+    points = keep(_words(docs, id_col, text_col, width), "features")
+    nodes = keep(points.groupBy("f").agg(F.min("rid").alias("nid")), "nodes")
+    count = nodes.count()
+    cent = centroids(nodes, count, cell, width)
+    nodes = keep(celled(nodes, cent), "cells")
+    size = np.zeros(len(cent), np.int64)
+    for r in nodes.groupBy("cell").count().collect():
+        size[r["cell"]] = r["count"]
+    region = (np.cumsum(size) - size) // REGION
+    names = docs.sparkSession.createDataFrame([(i, int(r)) for i, r in enumerate(region)], "cell int, region bigint")
+    probes = probes_for(nodes, count, cent, k)
+    nodes = nodes.join(small_side(names, 16), "cell")
+    return points, nodes, keep(neighbours(nodes, cent, region, probes, k), "links"), len(cent), probes
+
+
+def graph(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = WIDTH, cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(documents, nodes with their coordinates, links, cells)."""
+    points, nodes, links, cells, _ = _graph(docs, id_col, text_col, k, width, cell)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                z = _whole(_units(b.column("f").to_pylist(), width)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("nid"), b.column("region"), b.column("f"), *(pa.array(np.ascontiguousarray(z[:, j])) for j in range(width))], names=["nid", "region", "f", *(f"z{j}" for j in range(width))])
+
+    return points, nodes.select("nid", "region", "f").mapInArrow(run, "nid bigint, region bigint, f binary, " + ", ".join(f"z{j} bigint" for j in range(width))), links, cells
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, dims: int = DIMS, width: int = WIDTH, cell: int = CELL) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, width: int = WIDTH, cell: int = CELL) -> DataFrame:
     """(id, window, slot, start, end) of each piece of each document. See the module for defined results."""
-    points, nodes, links, s = graph(docs, id_col, text_col, k, dims, width, cell)
+    points, nodes, links, _, _ = _graph(docs, id_col, text_col, k, width, cell)
     kind = points.schema["id"].dataType.simpleString()
-    zs = [f"z{j}" for j in range(dims)]
-    region = nodes.select("nid", F.expr(f"p div {s}").alias("region"))
+    region = nodes.select(F.col("nid").alias("a"), F.col("region").alias("region"))
     degree = links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("deg"))
-    members = points.join(nodes.select(*zs, "nid", F.expr(f"p div {s}").alias("region")), zs).join(degree, "nid", "left").select("region", "nid", F.coalesce("deg", F.lit(0)).alias("deg"), "rid", "id", "n")
-    inner = links.join(region.select(F.col("nid").alias("a"), "region"), "a")
+    members = points.join(nodes.select("f", "nid", "region"), "f").join(degree, "nid", "left").select("region", "nid", F.coalesce("deg", F.lit(0)).alias("deg"), "rid", "id", "n")
+    inner = links.join(region, "a")
 
     def run(key, left, right):
         nid, rid, n = (np.asarray(left.column(c)) for c in ("nid", "rid", "n"))

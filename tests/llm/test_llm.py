@@ -186,6 +186,22 @@ def test_neighbours_are_exact(spark):
     assert (load <= 100).all() and all((g.iloc[:-1] == 100).all() for _, g in load.groupby(level=0))
 
 
+def test_neighbours_in_all_features(spark, monkeypatch):
+    rng = random.Random(4)
+    kinds = [rng.sample(WORDS, 20) for _ in range(6)]
+    d = spark.createDataFrame([(i, " ".join(rng.choice(kinds[i % 6] if rng.random() < 0.7 else WORDS) for _ in range(rng.randint(20, 90)))) for i in range(1500)], "doc_id long, text string")
+    monkeypatch.setattr(packing, "LEAST", 2)
+    points, nodes, links, cells = packing.graph(d, k=5, cell=40)
+    n = nodes.select("nid", "f").toPandas()
+    x = np.stack([np.frombuffer(f, np.uint8) for f in n.f]).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T
+    np.fill_diagonal(near, -1)
+    true = {(a, b) for i, a in enumerate(n.nid) for b in n.nid.to_numpy()[np.argsort(-near[i])[:5]]}
+    got = {(r["a"], r["b"]) for r in links.collect()}
+    assert cells > 30 and len(got) == 5 * len(n) and len(got & true) >= 0.9 * len(true)
+
+
 def test_walk():
     ids = np.array([1, 2, 3, 4, 9])
     paths = packing.walk(ids, np.array([1, 2, 2, 1, 0]), np.array([1, 2, 3]), np.array([2, 3, 4]), np.array([1.0, 1.0, 1.0]))
