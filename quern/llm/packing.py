@@ -8,14 +8,15 @@ nodes of the ``probes`` cells whose centroids are nearest. ``probes`` is set ane
 are compared with every node there is, and as many cells are searched as hold ``RECALL`` of their true
 neighbours; at ``LEAST`` cells or fewer all are searched and the graph is exact. In each region (adjacent cells) greedy
 paths are walked over the graph: the unvisited node of the least degree begins, the
-nearest unvisited neighbour follows, until none is left. Windows are filled along each path with its documents'
-words; a document that doesn't fit goes on in the next window.
+nearest unvisited neighbour follows, until none is left. Then links between ends of paths, of whatever regions, join
+them, the shortest first, as long as both nodes are still ends of different paths. Windows are filled along the
+joined paths, one after another, with their documents' words; a document that doesn't fit goes on in the next window.
 
 Defined results
 - rows (id, window, slot, start, end): words start to end (without it) of the document stand at this slot of the window;
 - null, empty and wordless texts have no words and no rows; a null id is packed with its null; rows that repeat an id are documents of their own;
-- a window holds ``WINDOW`` words; only the last one of a region may hold fewer; window numbers are unique but not consecutive;
-- neighbours at equal distance go by the least row; links that lead to another region count for degrees but are not walked;
+- a window holds ``WINDOW`` words; only the last one may hold fewer; window numbers are consecutive from 0;
+- neighbours at equal distance go by the least row, links of equal length by their lesser and then their greater row;
 - an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -26,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import importable, keep, small_side
@@ -34,7 +35,7 @@ from .textbuf import slices, word_hashes
 
 WINDOW, K, DIMS, WIDTH, CELL, SCALE = 2048, 8, 128, 128, 1024, 1_000_000
 #: Share of true neighbours to find, cells searched at least, nodes of a region, nodes that are compared with all others.
-RECALL, LEAST, REGION, SAMPLE = 0.93, 32, 12288, 512
+RECALL, LEAST, REGION, SAMPLE = 0.93, 32, 24576, 512
 #: What 32-bit products may be wrong by; pairs within it are compared again in whole numbers.
 EPS = 1e-5
 
@@ -268,6 +269,50 @@ def walk(ids: np.ndarray, degree: np.ndarray, a: np.ndarray, b: np.ndarray, d: n
     return paths
 
 
+def join_paths(first: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> list[list[tuple[int, bool]]]:
+    """Chains of (path, reversed): links (a, b) between end nodes are taken shortest first while both are still ends of different chains."""
+    ends = np.concatenate([first, last])
+    by = np.argsort(ends, kind="stable")
+    path_of = lambda x: by[np.searchsorted(ends[by], x)] % max(len(first), 1)
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((hi, lo, d))
+    lo, hi = lo[order], hi[order]
+    p, q = path_of(lo), path_of(hi)
+    root, free = list(range(len(first))), {}
+    for i, (x, y) in enumerate(zip(first.tolist(), last.tolist())):
+        free[x] = free.get(x, 0) + 1
+        free[y] = free.get(y, 0) + 1
+    joined: list[list[tuple[int, int, int]]] = [[] for _ in first]
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for x, y, i, j in zip(lo.tolist(), hi.tolist(), p.tolist(), q.tolist()):
+        if free[x] and free[y] and top(i) != top(j):
+            root[top(i)] = top(j)
+            free[x] -= 1
+            free[y] -= 1
+            joined[i].append((x, y, j))
+            joined[j].append((y, x, i))
+    chains, seen = [], [False] * len(first)
+    for start in sorted(range(len(first)), key=lambda i: (len(joined[i]), i)):
+        if seen[start]:
+            continue
+        chain, i, came = [], start, None
+        while i is not None:
+            seen[i] = True
+            out = next(((x, y, j) for x, y, j in joined[i] if not seen[j]), None)
+            # it leaves at its last node, or comes in at its first one
+            back = came != first[i] if came is not None else out is not None and out[0] != last[i]
+            chain.append((i, bool(back)))
+            i, came = (out[2], out[1]) if out else (None, None)
+        chains.append(chain)
+    return chains
+
+
 def fill(lengths: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """(document, window, slot, start, end) of documents laid one after another."""
     ends = np.cumsum(lengths)
@@ -322,14 +367,53 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     inner = links.join(region, "a")
 
     def run(key, left, right):
-        nid, rid, n = (np.asarray(left.column(c)) for c in ("nid", "rid", "n"))
+        # rows in the order of their region's paths; each with its path's end nodes
+        nid, rid = np.asarray(left.column("nid")), np.asarray(left.column("rid"))
         ids, at = np.unique(nid, return_index=True)
         paths = walk(ids, np.asarray(left.column("deg"))[at], *(np.asarray(right.column(c)) for c in ("a", "b", "d"))) if len(ids) else []
-        rank = np.empty(len(ids), np.int64)
-        rank[np.searchsorted(ids, np.array([x for p in paths for x in p], dtype=ids.dtype))] = np.arange(len(ids))
-        order = np.lexsort((rid, rank[np.searchsorted(ids, nid)]))
-        doc, win, slot, start, end = fill(n[order], window)
-        base = (key[0].as_py() or 0) << 32
-        return pa.table([left.column("id").take(pa.array(order[doc])), pa.array(win + base), pa.array(slot, pa.int64()), pa.array(start), pa.array(end)], names=[id_col, "window", "slot", "start", "end"])
-
-    return members.groupBy("region").cogroup(inner.groupBy("region")).applyInArrow(run, f"`{id_col}` {kind}, window bigint, slot bigint, start bigint, end bigint")
+        size = [len(p) for p in paths]
+        where = np.searchsorted(ids, np.array([x for p in paths for x in p], dtype=np.int64))
+        rank, head, tail = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+        rank[where] = np.arange(len(ids))
+        head[where] = np.repeat(np.array([p[0] for p in paths], dtype=np.int64), size)
+        tail[where] = np.repeat(np.array([p[-1] for p in paths], dtype=np.int64), size)
+        x = np.searchsorted(ids, nid)
+        order = pa.array(np.lexsort((rid, rank[x])))
+        return pa.table([*(left.column(c).take(order) for c in ("region", "id", "n", "rid")), *(pa.array(c[x]).take(order) for c in (rank, head, tail))], names=["region", "id", "n", "rid", "rank", "head", "tail"])
+
+    walked = keep(members.groupBy("region").cogroup(inner.groupBy("region")).applyInArrow(run, f"region bigint, id {kind}, n bigint, rid bigint, rank bigint, head bigint, tail bigint"), "walked")
+    paths = keep(walked.groupBy("head").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")), "paths")
+    ends = keep(paths.select(F.explode(F.array_distinct(F.array("head", "tail"))).alias("end")), "ends")
+    side = small_side(ends, 8)
+    # only links between ends of paths reach the one task that joins them
+    loose = links.join(side.select(F.col("end").alias("a")), "a", "left_semi").join(side.select(F.col("end").alias("b")), "b", "left_semi").select("a", "b", "d")
+
+    def chained(key, left, right):
+        first, last, n = (np.asarray(left.column(c)) for c in ("head", "tail", "n"))
+        by = np.argsort(first)
+        first, last, n = first[by], last[by], n[by]
+        flat = [x for c in join_paths(first, last, *(np.asarray(right.column(c)) for c in ("a", "b", "d"))) for x in c]
+        p = np.array([i for i, _ in flat], dtype=np.int64)
+        return pa.table([pa.array(first[p]), pa.array(np.cumsum(n[p]) - n[p]), pa.array([r for _, r in flat], pa.bool_())], names=["head", "begin", "back"])
+
+    places = keep(paths.groupBy(F.lit(0).alias("one")).cogroup(loose.groupBy(F.lit(0).alias("one"))).applyInArrow(chained, "head bigint, begin bigint, back boolean"), "places")
+
+    def pieces(key, t):
+        head, rank, rid, n, begin = (np.asarray(t.column(c)) for c in ("head", "rank", "rid", "n", "begin"))
+        back = np.asarray(t.column("back"))
+        turn = np.where(back, -1, 1)
+        order = np.lexsort((rid * turn, rank * turn, begin))
+        n, begin, head = n[order], begin[order], head[order]
+        before = np.cumsum(n) - n
+        new = np.concatenate([[True], head[1:] != head[:-1]])
+        at = begin + before - before[new][np.cumsum(new) - 1]
+        w0, w1 = at // window, (at + n - 1) // window
+        doc = np.repeat(np.arange(len(n)), w1 - w0 + 1)
+        many = w1 - w0 + 1
+        win = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + w0[doc]
+        start = np.maximum(at[doc], win * window)
+        end = np.minimum(at[doc] + n[doc], (win + 1) * window)
+        return pa.table([t.column("id").take(pa.array(order[doc])), pa.array(win), pa.array(start), pa.array(start - at[doc]), pa.array(end - at[doc])], names=["id", "window", "place", "start", "end"])
+
+    cut = walked.join(small_side(places, 17), "head").groupBy("region").applyInArrow(pieces, f"id {kind}, window bigint, place bigint, start bigint, end bigint")
+    return cut.select(F.col("id").alias(id_col), "window", (F.row_number().over(Window.partitionBy("window").orderBy("place")) - 1).cast("bigint").alias("slot"), "start", "end")

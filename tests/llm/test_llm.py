@@ -210,6 +210,27 @@ def test_walk():
     assert list(zip(doc, win, slot, start, end)) == [(0, 0, 0, 0, 3), (1, 0, 1, 0, 1), (1, 1, 0, 1, 5), (2, 2, 0, 0, 2)]
 
 
+def test_paths_join_over_regions(spark, monkeypatch):
+    # path 0 = 1..2, path 1 = 5..6, path 2 = 9: 2-6 is the shortest, 5-9 next, 1-9 would close a ring
+    chains = packing.join_paths(np.array([1, 5, 9]), np.array([2, 6, 9]), np.array([1, 9, 2]), np.array([9, 5, 6]), np.array([3.0, 2.0, 1.0]))
+    nodes = [x for i, back in chains[0] for x in (([1, 2], [5, 6], [9])[i][::-1] if back else ([1, 2], [5, 6], [9])[i])]
+    assert len(chains) == 1 and nodes in ([1, 2, 6, 5, 9], [9, 5, 6, 2, 1])
+    rng = random.Random(6)
+    d = spark.createDataFrame([(i, prose(rng, rng.randint(20, 60))) for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(packing, "REGION", 60)
+    p = packing.pack(d, window=100, k=5, cell=20).toPandas().sort_values(["window", "slot"])
+    _, nodes, links, _ = packing.graph(d, k=5, cell=20)
+    region = {r["nid"]: r["region"] for r in nodes.select("nid", "region").collect()}
+    assert len(set(region.values())) > 3
+    load = (p.end - p.start).groupby(p.window).sum()
+    assert load.index.tolist() == list(range(len(load))) and (load.iloc[:-1] == 100).all()
+    assert (p.groupby("window").slot.apply(list).map(lambda x: x == list(range(len(x))))).all()
+    of = {r["id"]: r["nid"] for r in packing._words(d, "doc_id", "text", 128).join(nodes.select("f", "nid"), "f").collect()}
+    order = [of[x] for x in p.doc_id.drop_duplicates()]
+    linked = {frozenset((r["a"], r["b"])) for r in links.collect()}
+    assert any(region[a] != region[b] and frozenset((a, b)) in linked for a, b in zip(order, order[1:]))
+
+
 def b64(x):
     return base64.urlsafe_b64encode(x).rstrip(b"=").decode()
 
