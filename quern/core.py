@@ -1,18 +1,21 @@
 """What all operators share: checks, missing values, row order, category metadata, column selectors.
 
-Missing is one notion: null, and NaN in float and double columns. Order of rows is never implied:
-operators that depend on it take ``order_by`` (a column or list of columns, best a unique key);
-without it they use the order in which Spark scans the rows.
+Missing is one notion: null, and NaN in float and double columns. Operators that depend on the order
+of rows take ``order_by`` (a column or list of columns, best a unique key); without it they use the
+order in which Spark scans the rows.
 """
 
 from __future__ import annotations
 
+import atexit
 import fnmatch
 import re
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +82,59 @@ def no_stream(df: DataFrame, what: str) -> None:
         raise ValueError(f"{what} needs all rows and is not supported on a streaming table")
 
 
+_own: list[str] = []
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` computed once, into the folder of ``spark.checkpoint.dir`` that all executors share, so that later branches of a plan see the same rows, row numbers and partitions.
+
+    Where the setting is unset, a local master gets a folder of its own; a cluster is an error.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="quern-checkpoint-")
+            _own.append(named)
+            atexit.register(shutil.rmtree, named, True)
+        sc.setCheckpointDir(named)
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, name: str, keys: list[Column] | None = None) -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of ``keys`` (as scanned without any).
+
+    Rows are sorted by ranges; each range's number of rows gives the place where the next begins, so no task sees them all.
+    """
+    m, p, o = free(df, "m_", "p_", "o_")
+    s = stable((df.orderBy(*keys) if keys else df).withColumn(m, F.monotonically_increasing_id()))
+    counts = s.groupBy(F.shiftright(m, 33).alias(p)).agg(F.count(F.lit(1)).alias(o))
+    # a row a partition
+    begins = counts.select(p, (F.sum(o).over(Window.partitionBy(F.lit(0)).orderBy(p)) - F.col(o)).alias(o))
+    out = s.join(F.broadcast(begins), F.shiftright(m, 33) == F.col(p))
+    return out.withColumn(name, F.col(o) + F.col(m).bitwiseAND(F.lit((1 << 33) - 1))).drop(m, p, o)
+
+
+def given(order_by: str | Column | list | None) -> list[Column]:
+    """The keys of an order, none if none is given."""
+    return [col(k) if isinstance(k, str) else k for k in listed(order_by)]
+
+
+#: Distinct values that may become columns or metadata.
+MOST_VALUES = 100_000
+
+
+def bounded(rows: DataFrame, what: str, most: int = MOST_VALUES) -> list:
+    """All rows, on the driver; more than ``most`` are an error, never cut."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"{what} would take more than {most} distinct values to the driver")
+    return got
+
+
 def categories(df: DataFrame, name: str) -> list | None:
     return (df.schema[name].metadata or {}).get("categories")
 
@@ -154,7 +210,10 @@ def _select(df: DataFrame, spec: Any) -> list[str]:
     if isinstance(spec, dict):
         return _select(df, list(spec))
     if callable(spec):
-        got = [spec(f) for f in df.schema.fields]
+        try:
+            got = [spec(f) for f in df.schema.fields]
+        except (AttributeError, TypeError):  # a function of the table: names, a mask or a selector
+            return _select(df, spec(df))
         if any(not isinstance(x, bool) for x in got):
             raise TypeError("a selecting function must give True or False for a field")
         return [n for n, x in zip(names, got) if x]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ast
+import io
 import re
-from collections.abc import Iterable
+import tokenize
+from collections.abc import Callable, Iterable
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import check, check_column, col, free, listed, missing, no_stream, order_keys
+from ..core import FLOATS, check, check_column, col, free, listed, missing, no_stream, order_keys
 
 
 def filter_string(df: DataFrame, column_name: str, search_string: str, complement: bool = False, case: bool = True, flags: int = 0, na: bool | None = None, regex: bool = True) -> DataFrame:
@@ -27,24 +31,99 @@ def filter_string(df: DataFrame, column_name: str, search_string: str, complemen
     return df.where(~hit if complement else hit)
 
 
-def _sql(criteria: str) -> str:
-    """Conditions in the Python manner as SQL."""
-    out = []
-    for part in re.split(r"('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`)", criteria):
-        if part[:1] in ("'", '"', "`"):
-            out.append("'" + part[1:-1].replace("'", "''") + "'" if part[0] == '"' else part)
-        else:
-            part = re.sub(r"\s*&\s*", ") AND (", part)
-            part = re.sub(r"\s*\|\s*", ") OR (", part)
-            part = re.sub(r"~", " NOT ", part)
-            out.append(re.sub(r"\bnot in\b", "NOT IN", part))
-    text = "".join(out)
-    text = re.sub(r"\[([^\]]*)\]", r"(\1)", text)
-    return f"({text})" if ") AND (" in text or ") OR (" in text else text
+_OPS: dict[type, Callable] = {
+    ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b, ast.Mod: lambda a, b: a % b, ast.Pow: F.pow,
+    ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b,
+}
+_NAME = "quern_name_"
+
+
+def _tree(criteria: str) -> tuple[ast.expr, list[str]] | None:
+    """The condition's syntax tree, with ``&`` and ``|`` as loose as ``and`` and ``or``, and the names that stood in backticks; None if it is no Python."""
+    names: list[str] = []
+
+    def quoted(m: re.Match) -> str:
+        if m[0][0] != "`":
+            return m[0]
+        names.append(m[0][1:-1])
+        return f" {_NAME}{len(names) - 1} "
+
+    text = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", quoted, criteria.strip())
+    try:
+        got = [{"&": "and", "|": "or"}.get(t.string, t.string) if t.type == tokenize.OP else t.string for t in tokenize.generate_tokens(io.StringIO(text).readline)]
+        return ast.parse(" ".join(got).strip(), mode="eval").body, names
+    except (SyntaxError, tokenize.TokenError):
+        return None
+
+
+def condition(df: DataFrame, criteria: str) -> Column:
+    """A condition in the Python manner (``and or not & | ~``, comparisons, ``in``, arithmetic) as a Column; other text is SQL.
+
+    A missing value meets no comparison but ``!=``, so ``not`` of a comparison holds for it.
+    """
+    tree = _tree(criteria)
+    if tree is None:
+        return F.expr(criteria)
+    names = tree[1]
+
+    def named(e: ast.expr) -> str | None:
+        if isinstance(e, ast.Name):
+            return names[int(e.id[len(_NAME) :])] if e.id.startswith(_NAME) else e.id
+        return None
+
+    def gone(e: ast.expr) -> Column | None:
+        """Whether a float column is NaN, which compares as the greatest number."""
+        n = named(e)
+        return F.isnan(col(n)) if n in df.columns and isinstance(df.schema[n].dataType, FLOATS) else None
+
+    def compare(a: ast.expr, op: ast.cmpop, b: ast.expr) -> Column:
+        if isinstance(op, (ast.In, ast.NotIn)):
+            if not isinstance(b, (ast.List, ast.Tuple, ast.Set)):
+                raise ValueError("in needs a list of values")
+            values = [x for x in b.elts if not (isinstance(x, ast.Constant) and x.value is None)]
+            hit = build(a).isin([build(x) for x in values]) if values else F.lit(False)
+            return ~F.coalesce(hit, F.lit(False)) if isinstance(op, ast.NotIn) else hit
+        if isinstance(op, (ast.Is, ast.IsNot)):
+            if not (isinstance(b, ast.Constant) and b.value is None):
+                raise ValueError("is compares with None only")
+            none = build(a).isNull() if gone(a) is None else build(a).isNull() | gone(a)
+            return ~none if isinstance(op, ast.IsNot) else none
+        hit, nan = _OPS[type(op)](build(a), build(b)), [x for x in (gone(a), gone(b)) if x is not None]
+        if isinstance(op, ast.NotEq):
+            return reduce(lambda x, y: x | y, [F.coalesce(hit, F.lit(True)), *[F.coalesce(x, F.lit(True)) for x in nan]])
+        return reduce(lambda x, y: x & ~y, nan, hit)
+
+    def build(e: ast.expr) -> Column:
+        if isinstance(e, ast.BoolOp):
+            return reduce(lambda x, y: x & y if isinstance(e.op, ast.And) else x | y, [build(x) for x in e.values])
+        if isinstance(e, ast.UnaryOp):
+            v = build(e.operand)
+            if isinstance(e.op, (ast.Not, ast.Invert)):
+                return ~F.coalesce(v, F.lit(False))
+            return -v if isinstance(e.op, ast.USub) else v
+        if isinstance(e, ast.Compare):
+            sides = [e.left, *e.comparators]
+            return reduce(lambda x, y: x & y, [compare(a, op, b) for a, op, b in zip(sides, e.ops, sides[1:])])
+        if isinstance(e, ast.BinOp) and type(e.op) in _OPS:
+            return _OPS[type(e.op)](build(e.left), build(e.right))
+        if isinstance(e, ast.BinOp) and isinstance(e.op, ast.FloorDiv):
+            return F.floor(build(e.left) / build(e.right))
+        if isinstance(e, ast.Constant):
+            return F.lit(e.value)
+        if (n := named(e)) is not None:
+            if n in df.columns:
+                return col(n)
+            if n.lower() in ("true", "false", "null"):
+                return F.lit({"true": True, "false": False}.get(n.lower()))
+            return F.expr(n)
+        # functions and fields are Spark's own
+        return F.expr(re.sub(_NAME + r"(\d+)", lambda m: "`" + names[int(m[1])] + "`", ast.unparse(e)))
+
+    return build(tree[0])
 
 
 def filter_on(df: DataFrame, criteria: str, complement: bool = False) -> DataFrame:
-    cond = F.expr(_sql(criteria))
+    cond = condition(df, criteria)
     return df.where(~F.coalesce(cond, F.lit(False)) if complement else cond)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import NUMERIC, categories, check, check_column, col, free, listed, missing, no_stream, resolve
+from ..core import NUMERIC, bounded, categories, check, check_column, col, free, listed, missing, no_stream, resolve
 from .select import collapse_labels
 
 VALUE = ".value"
@@ -225,7 +225,7 @@ def pivot_wider(df: DataFrame, index: Any = None, names_from: Any = None, values
     if set(idx) & set(names) or set(vals) & set(idx + names):
         raise ValueError("a column has two roles")
     if names_values is None:
-        found = [tuple(r) for r in df.select(*[col(c) for c in names]).distinct().collect()]
+        found = [tuple(r) for r in bounded(df.select(*[col(c) for c in names]).distinct(), "pivot_wider", 10_000)]
         if names_expand:
             levels = [categories(df, c) or sorted({t[i] for t in found}) for i, c in enumerate(names)]
             found = list(itertools.product(*levels))

@@ -6,12 +6,12 @@ import math
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import FLOATS, check, check_column, col, free, known, listed, missing, no_stream, order_keys, resolve
-from .filters import _sql
+from ..core import FLOATS, bounded, check, check_column, col, free, given, known, listed, missing, no_stream, numbered, resolve
+from .filters import condition
 
 
 def _as_column(df: DataFrame, x: Any) -> Column:
@@ -34,14 +34,29 @@ def add_column(df: DataFrame, column_name: str, value: Any, fill_remaining: bool
     if len(values) < n and not fill_remaining or not values:
         raise ValueError(f"only {len(values)} values for {n} rows")
     (pos,) = free(df, "pos")
-    numbered = df.withColumn(pos, F.row_number().over(Window.orderBy(*order_keys(order_by))) - 1)
-    return numbered.withColumn(column_name, F.element_at(F.array(*[F.lit(v) for v in values]), F.col(pos) % len(values) + 1)).drop(pos)
+    return _laid(numbered(df, pos, given(order_by)), pos, {column_name: values}).drop(pos)
+
+
+def _laid(df: DataFrame, pos: str, lists: dict[str, list]) -> DataFrame:
+    return df.withColumns({c: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(pos) % len(values) + 1).cast("int")) for c, values in lists.items()})
 
 
 def add_columns(df: DataFrame, fill_remaining: bool = False, order_by=None, **columns: Any) -> DataFrame:
-    for name, value in columns.items():
-        df = add_column(df, name, value, fill_remaining, order_by)
-    return df
+    """add_column() for each; rows are counted and numbered once for all lists."""
+    check_column(df, list(columns), present=False)
+    plain = lambda v: isinstance(v, (Column, str)) or not hasattr(v, "__iter__")
+    lists = {c: list(v) for c, v in columns.items() if not plain(v)}
+    if lists:
+        no_stream(df, "a column from a list")
+        n = df.count()
+        for values in lists.values():
+            if len(values) > n or len(values) < n and not fill_remaining or not values:
+                raise ValueError(f"{len(values)} values for {n} rows")
+        (pos,) = free(df, "pos")
+        df = _laid(numbered(df, pos, given(order_by)), pos, lists).drop(pos)
+    out = df.withColumns({c: v if isinstance(v, Column) else F.lit(v) for c, v in columns.items() if plain(v)}) if len(lists) < len(columns) else df
+    names = [c for c in df.columns if c not in columns] + list(columns)
+    return out.select(*[col(c) for c in names])
 
 
 def case_when(df: DataFrame, *args: Any, default: Any = None, column_name: str) -> DataFrame:
@@ -55,7 +70,7 @@ def case_when(df: DataFrame, *args: Any, default: Any = None, column_name: str)
         default = args.pop()
     out: Column | None = None
     for cond, value in zip(args[::2], args[1::2]):
-        c = F.expr(_sql(cond)) if isinstance(cond, str) else _as_column(df, cond)
+        c = condition(df, cond) if isinstance(cond, str) else _as_column(df, cond)
         v = _as_column(df, value)
         out = F.when(c, v) if out is None else out.when(c, v)
     return df.withColumn(column_name, out.otherwise(_as_column(df, default)))
@@ -63,7 +78,7 @@ def case_when(df: DataFrame, *args: Any, default: Any = None, column_name: str)
 
 def update_where(df: DataFrame, conditions: Any, target_column_name: str, target_val: Any) -> DataFrame:
     """Sets a column where the condition holds; a column that wasn't there is null elsewhere."""
-    cond = F.expr(_sql(conditions)) if isinstance(conditions, str) else _as_column(df, conditions)
+    cond = condition(df, conditions) if isinstance(conditions, str) else _as_column(df, conditions)
     if not isinstance(df.select(cond.alias("x")).schema["x"].dataType, T.BooleanType):
         raise ValueError("the condition must be boolean")
     old = col(target_column_name) if target_column_name in df.columns else F.lit(None)
@@ -346,7 +361,7 @@ def expand_column(df: DataFrame, column_name: str, sep: str = "|", concat: bool
     parts = F.split(col(column_name), re.escape(sep), -1)
     if labels is None:
         no_stream(df, "expand_column without labels")
-        labels = sorted(r[0] for r in df.select(F.explode(parts).alias("x")).where("x <> ''").distinct().collect())
+        labels = sorted(r[0] for r in bounded(df.select(F.explode(parts).alias("x")).where("x <> ''").distinct(), "expand_column"))
     made = [F.coalesce(F.array_contains(parts, x), F.lit(False)).cast("int").alias(x) for x in labels]
     return df.select(*([col(c) for c in df.columns] if concat else []), *made)
 

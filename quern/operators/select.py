@@ -7,11 +7,11 @@ import unicodedata
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import check, check_column, col, free, known, listed, missing, no_stream, order_keys, resolve
+from ..core import check, check_column, col, free, given, known, listed, missing, no_stream, numbered, resolve
 
 
 def select(df: DataFrame, *args: Any, index: Any = None, columns: Any = None, axis: str = "columns", invert: bool = False, order_by=None) -> DataFrame:
@@ -52,8 +52,8 @@ def select_rows(df: DataFrame, *args: Any, invert: bool = False, order_by=None)
             cond = cond | (own & (p < s.stop) if s.stop is not None else own)
         else:
             cond = cond | (p == s)
-    numbered = df.withColumn(pos, F.row_number().over(Window.orderBy(*order_keys(order_by))) - 1)
-    return numbered.where(~cond if invert else cond).drop(pos)
+    placed = numbered(df, pos, given(order_by))
+    return placed.where(~cond if invert else cond).drop(pos)
 
 
 def get_index_labels(df: DataFrame, arg: Any) -> list[str]:
@@ -101,8 +101,8 @@ def move(df: DataFrame, source: Any, target: Any = None, position: str = "before
     src = listed(source) if not isinstance(source, int) else [source]
     p = F.col(pos)
     at = (-1.0 if position == "before" else float("inf")) if target is None else target + (-0.5 if position == "before" else 0.5)
-    numbered = df.withColumn(pos, F.row_number().over(Window.orderBy(*order_keys(order_by))) - 1)
-    return numbered.orderBy(F.when(p.isin(src), F.lit(at)).otherwise(p.cast("double")), p).drop(pos)
+    placed = numbered(df, pos, given(order_by))
+    return placed.orderBy(F.when(p.isin(src), F.lit(at)).otherwise(p.cast("double")), p).drop(pos)
 
 
 def rename_column(df: DataFrame, old_column_name: str, new_column_name: str) -> DataFrame:
@@ -215,27 +215,43 @@ def collapse_levels(df: DataFrame, sep: str | None = None, glue: str | None = No
     """Struct columns become flat columns named by their path; a table without them is returned as it is."""
     if not any(isinstance(f.dataType, T.StructType) for f in df.schema.fields):
         return df
-    cols, labels = [], []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StructType):
-            for g in f.dataType.fields:
-                cols.append(col(f.name).getField(g.name))
-                labels.append((f.name, g.name))
+    found: list[tuple[Column, tuple[str, ...]]] = []
+
+    def walk(c: Column, kind: T.DataType, path: tuple[str, ...]) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                walk(c.getField(f.name), f.dataType, (*path, f.name))
         else:
-            cols.append(col(f.name))
-            labels.append((f.name, ""))
-    return df.select(*[c.alias(n) for c, n in zip(cols, collapse_labels(labels, sep, glue))])
+            found.append((c, path))
+
+    for f in df.schema.fields:
+        walk(col(f.name), f.dataType, (f.name,))
+    depth = max(len(p) for _, p in found)
+    labels = [p + ("",) * (depth - len(p)) for _, p in found]
+    return df.select(*[c.alias(n) for (c, _), n in zip(found, collapse_labels(labels, sep, glue))])
 
 
 def explode_index(df: DataFrame, names_sep: str | None = None, names_pattern: str | None = None) -> DataFrame:
-    """Flat names taken apart into structs: what stands before the separator (or in the first group) is the outer name."""
+    """Flat names taken apart into nested structs: a level for each part of a name (or each group of the pattern)."""
     if (names_sep is None) == (names_pattern is None):
         raise ValueError("give names_sep or names_pattern")
-    groups: dict[str, list[tuple[str, str]]] = {}
+    tree: dict = {}
     for c in df.columns:
-        m = re.search(names_pattern, c).groups() if names_pattern and re.search(names_pattern, c) else tuple(c.split(names_sep)) if names_sep else (c,)
-        groups.setdefault(m[0], []).append(("_".join(m[1:]), c))
-    return df.select(*[col(g[0][1]).alias(n) if len(g) == 1 and not g[0][0] else F.struct(*[col(c).alias(k or n) for k, c in g]).alias(n) for n, g in groups.items()])
+        m = re.search(names_pattern, c) if names_pattern else None
+        path = [x for x in (m.groups() if m else c.split(names_sep) if names_sep else [c]) if x] or [c]
+        at = tree
+        for x in path[:-1]:
+            at = at.setdefault(x, {})
+            if not isinstance(at, dict):
+                raise ValueError(f"{x!r} is a column and a level")
+        if path[-1] in at:
+            raise ValueError(f"{c!r} is a column and a level")
+        at[path[-1]] = c
+
+    def made(x: Any, name: str) -> Column:
+        return col(x).alias(name) if isinstance(x, str) else F.struct(*[made(v, k) for k, v in x.items()]).alias(name)
+
+    return df.select(*[made(v, k) for k, v in tree.items()])
 
 
 def change_index_dtype(df: DataFrame, dtype: str | dict[str, str], key_columns: Any = None) -> DataFrame:
@@ -254,8 +270,8 @@ def row_to_names(df: DataFrame, row_numbers: int | list[int] = 0, remove_rows: b
     if len(rows) > 1 and remove_rows_above:
         raise ValueError("rows above can be removed for one header row only")
     (pos,) = free(df, "pos")
-    numbered = df.withColumn(pos, F.row_number().over(Window.orderBy(*order_keys(order_by))) - 1)
-    head = sorted(numbered.where(F.col(pos).isin(rows)).collect(), key=lambda r: r[pos])
+    placed = numbered(df, pos, given(order_by))
+    head = sorted(placed.where(F.col(pos).isin(rows)).collect(), key=lambda r: r[pos])
     if len(head) < len(rows):
         raise ValueError("a header row is not in the table")
     names = [separator.join(str(r[c]) for r in head) for c in df.columns]
@@ -264,7 +280,7 @@ def row_to_names(df: DataFrame, row_numbers: int | list[int] = 0, remove_rows: b
         cond = cond & (p >= rows[0])
     if remove_rows:
         cond = cond & ~p.isin(rows)
-    return numbered.where(cond).drop(pos).toDF(*names)
+    return placed.where(cond).drop(pos).toDF(*names)
 
 
 def drop_duplicate_columns(df: DataFrame, column_name: str, nth_index: int = 0) -> DataFrame:

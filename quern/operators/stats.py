@@ -4,33 +4,46 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import categories, check, check_column, col, free, known, listed, missing, no_stream, order_keys, resolve, with_metadata
+from ..core import bounded, categories, check, check_column, col, free, known, listed, missing, no_stream, numbered, order_keys, resolve, with_metadata
 
 _AGG: dict[str, Callable] = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "size": lambda c: F.count(F.lit(1)), "std": F.stddev_samp, "var": F.var_samp, "median": F.median, "first": F.first, "last": F.last, "nunique": lambda c: F.size(F.collect_set(c)), "any": F.bool_or, "all": F.bool_and}
 
 
-def groupby_agg(df: DataFrame, by: Any, new_column_name: str, agg_column_name: str, agg: str | Callable[[Column], Column], dropna: bool = True) -> DataFrame:
-    """The group's aggregate beside each row; with ``dropna`` rows with a missing key get null."""
+def groupby_agg(df: DataFrame, by: Any, new_column_name: str, agg_column_name: str, agg: str | Callable, dropna: bool = True, series: bool = False) -> DataFrame:
+    """The group's aggregate beside each row; with ``dropna`` rows with a missing key get null.
+
+    Groups are aggregated where their rows lie and joined back, so few large groups are no few large tasks. ``agg`` is
+    a name or a function of a Column; with ``series`` a function of a pandas Series (of the group's known values) to a
+    number, for which each group's values meet in one task.
+    """
     no_stream(df, "groupby_agg")
     check_column(df, new_column_name, present=False)
     keys = listed(by)
     check_column(df, [*keys, agg_column_name])
-    f = _AGG.get(agg) if isinstance(agg, str) else agg
+    v = known(df, agg_column_name)
+    if series:
+        if not callable(agg):
+            raise ValueError("series needs a function")
+        f = lambda c: F.pandas_udf(lambda x: float(agg(x.dropna())), "double", F.PandasUDFType.GROUPED_AGG)(c)
+    else:
+        f = _AGG.get(agg) if isinstance(agg, str) else agg
     if f is None:
         raise ValueError(f"{agg!r} is no aggregate")
-    v = f(known(df, agg_column_name)).over(Window.partitionBy(*[col(k) for k in keys]))
+    tmp = free(df, *[f"g{i}_" for i in range(len(keys))])
+    rows = df
     if dropna:
-        there = F.lit(True)
         for k in keys:
-            there = there & ~missing(df, k)
-        v = F.when(there, v)
-    return df.withColumn(new_column_name, v)
+            rows = rows.where(~missing(rows, k))
+    one = rows.groupBy(*[col(k).alias(t) for k, t in zip(keys, tmp)]).agg(f(v).alias(new_column_name))
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(t)) if not dropna else col(k) == F.col(t) for k, t in zip(keys, tmp)])
+    return df.join(one, same, "left").drop(*tmp)
 
 
 def impute(df: DataFrame, column_names: Any, value: Any = None, statistic_column_name: str | None = None) -> DataFrame:
@@ -68,8 +81,8 @@ def min_max_scale(df: DataFrame, feature_range: tuple[float, float] = (0, 1), co
     return out.withColumns(made).drop(*tmp)
 
 
-def bin_numeric(df: DataFrame, from_column_name: str, to_column_name: str, bins: int | list[float] = 5, labels: list[str] | None = None, right: bool = True, retbins: bool = False) -> DataFrame:
-    """Intervals (a, b] as text or by ``labels``: so many of equal width (the lowest edge a thousandth of the range lower), or given edges."""
+def bin_numeric(df: DataFrame, from_column_name: str, to_column_name: str, bins: int | list[float] = 5, labels: list[str] | None = None, right: bool = True, retbins: bool = False, precision: int = 3, include_lowest: bool = False) -> DataFrame:
+    """Intervals (a, b] as text or by ``labels``: so many of equal width (the lowest edge a thousandth of the range lower), given edges, or given pairs of edges that don't overlap."""
     if retbins:
         raise ValueError("retbins is not supported")
     check_column(df, from_column_name)
@@ -89,18 +102,27 @@ def bin_numeric(df: DataFrame, from_column_name: str, to_column_name: str, bins:
         else:
             edges = [lo + (hi - lo) * i / bins for i in range(bins)] + [hi]
             edges[0 if right else -1] += (-1 if right else 1) * 0.001 * (hi - lo)
+    elif all(isinstance(x, (tuple, list)) for x in bins):
+        edges = None
+        pairs = [(float(a), float(b)) for a, b in bins]
+        if any(a >= b for a, b in pairs) or any(x[1] > y[0] for x, y in zip(pairs, pairs[1:])):
+            raise ValueError("intervals must grow and not overlap")
     else:
         edges = [float(x) for x in bins]
         if sorted(set(edges)) != edges:
             raise ValueError("edges must grow")
+    if edges is not None:
+        pairs = list(zip(edges, edges[1:]))
     if labels is None:
-        text = lambda x: f"{x:.3f}".rstrip("0").rstrip(".") if "." in f"{x:.3f}" else f"{x}"
-        labels = [f"({text(a)}, {text(b)}]" if right else f"[{text(a)}, {text(b)})" for a, b in zip(edges, edges[1:])]
-    if len(labels) != len(edges) - 1:
-        raise ValueError(f"{len(labels)} labels for {len(edges) - 1} bins")
+        text = lambda x: f"{x:.{precision}f}".rstrip("0").rstrip(".") if precision else f"{x:.0f}"
+        labels = [f"({text(a)}, {text(b)}]" if right else f"[{text(a)}, {text(b)})" for a, b in pairs]
+    if len(labels) != len(pairs):
+        raise ValueError(f"{len(labels)} labels for {len(pairs)} bins")
     out = F.lit(None).cast("string")
-    for a, b, name in reversed(list(zip(edges, edges[1:], labels))):
+    for k, ((a, b), name) in reversed(list(enumerate(zip(pairs, labels)))):
         inside = (v > a) & (v <= b) if right else (v >= a) & (v < b)
+        if include_lowest and right and not k:
+            inside = (v >= a) & (v <= b)
         out = F.when(inside, F.lit(name)).otherwise(out)
     return df.withColumn(to_column_name, out)
 
@@ -115,7 +137,7 @@ def factorize_columns(df: DataFrame, column_names: Any, suffix: str | None = "_e
         key, code = free(out, "f_key", "f_code")
         there = out.where(~missing(out, c))
         seen = there.groupBy(col(c).alias(key)).agg(F.lit(1).alias("o_") if sort else F.min(pos).alias("o_"))
-        coded = seen.select(key, (F.row_number().over(Window.orderBy(key if sort else "o_")) - 1).alias(code))
+        coded = numbered(seen, code, [F.col(key if sort else "o_")]).select(key, code)
         joined = out.join(coded, col(c) == F.col(key), "left")
         out = joined.withColumn(c + (suffix or ""), F.coalesce(F.col(code), F.lit(-1)).cast("bigint")).drop(key, code)
     return out.drop(pos)
@@ -138,10 +160,10 @@ def encode_categorical(df: DataFrame, column_names: Any = None, order_by=None, *
             no_stream(df, "encode_categorical without categories")
             there = df.where(~missing(df, c))
             if how == "appearance":
-                rows = there.groupBy(col(c).alias("v")).agg(F.min(F.struct(*order_keys(order_by))).alias("p")).orderBy("p").select("v").collect()
+                rows = there.groupBy(col(c).alias("v")).agg(F.min(F.struct(*order_keys(order_by))).alias("p")).orderBy("p").select("v")
             else:
-                rows = there.select(col(c).alias("v")).distinct().orderBy("v").collect()
-            values = [r["v"] for r in rows]
+                rows = there.select(col(c).alias("v")).distinct().orderBy("v")
+            values = [r["v"] for r in bounded(rows, "encode_categorical")]
         else:
             values = list(how)
             if len(set(values)) < len(values) or any(v is None for v in values):
@@ -180,7 +202,7 @@ def count_cumulative_unique(df: DataFrame, column_name: str, dest_column_name: s
 
 
 def toset(df: DataFrame, column_name: str) -> set:
-    return {r[0] for r in df.select(col(column_name)).distinct().collect()}
+    return {r[0] for r in bounded(df.select(col(column_name)).distinct(), "toset", 10_000_000)}
 
 
 class DataDescription:
