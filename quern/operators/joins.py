@@ -1,13 +1,23 @@
 """Joins on inequalities, completion of combinations, products.
 
 conditional_join puts equalities into the join's keys (hash or sort-merge join with the rest as a
-residual). A point that must lie in an interval of the other side, without equalities, is joined over
-buckets: an interval is copied to each bucket of the number line it touches, a point lies in one
-bucket, so pairs are found once and by an equi-join; intervals of very many buckets go a way of their own.
+residual). Without equalities:
+
+- a point that must lie in an interval of the other side is joined over buckets of the number line. An
+  interval's length gives its level, a power of two not below it, and it is copied to the two buckets of
+  that width it can touch; a point is copied once to each level there is. So each pair is found once, by one equi-join, however
+  intervals of different lengths are mixed;
+- the first or last match of a single inequality is a running minimum over both sides sorted by the
+  compared value (equalities may be there, too); no pairs are made;
+- whether any row matches a single inequality is a comparison with the other side's least or greatest value.
+
+What is left (all pairs of a single inequality, two inequalities that make no interval) is Spark's nested
+loop, whose work is of the size of the output or, in the last case, of the product.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import Any
 
@@ -15,11 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import FLOATS, NUMERIC, check, check_column, col, free, listed, no_stream, order_keys, resolve
+from ..core import FLOATS, NUMERIC, check, check_column, col, free, listed, no_stream, numbered, resolve, stable
 
 OPS = {">", ">=", "<", "<=", "==", "!="}
 HOWS = {"inner", "left", "right", "outer", "left_semi", "left_anti"}
-MAX_BUCKETS = 64
 
 
 def _family(t: T.DataType) -> str:
@@ -100,39 +109,118 @@ def _interval(conditions: tuple, L: DataFrame, R: DataFrame) -> tuple | None:
     return None
 
 
-def _bucketed(L: DataFrame, R: DataFrame, plan: tuple, cond: Column, width: float | None) -> DataFrame | None:
-    """Inner join over buckets; None where no width can be had (no intervals)."""
+def _levelled(L: DataFrame, R: DataFrame, plan: tuple, width: float | None) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Points (``at_`` is null for those that can match nothing) and intervals with ``level_`` and ``bucket_``, and the levels."""
     side, p, lo, hi = plan
     points, spans = (L, R) if side == "left" else (R, L)
+    big = F.lit(1.7e308)
     num = lambda d, c: _number(_value(col(c), d.schema[c].dataType), d.schema[c].dataType)
-    s = spans.withColumn("lo_", num(spans, lo)).withColumn("hi_", num(spans, hi)).where("lo_ <= hi_")
+    end = lambda c: F.greatest(-big, F.least(big, num(spans, c)))
+    s = spans.where(num(spans, lo).isNotNull() & num(spans, hi).isNotNull()).withColumns({"lo_": end(lo), "hi_": end(hi)}).where("lo_ <= hi_")
+    length = F.least(big, F.col("hi_") - F.col("lo_"))
+    level = F.greatest(F.lit(-1000), F.ceil(F.log2(F.when(length > 0, length))).cast("int"))
     if width is None:
-        got = s.agg(F.percentile_approx(F.col("hi_") - F.col("lo_"), 0.9, 1000)).first()[0]
-        if got is None:
-            return None
-        width = float(got) or 1.0
-    b = lambda c: F.floor(c / F.lit(float(width)))
-    s = s.withColumn("b0_", b(F.col("lo_"))).withColumn("b1_", b(F.col("hi_")))
-    short = s.where(F.col("b1_") - F.col("b0_") < MAX_BUCKETS).withColumn("bucket_", F.explode(F.sequence("b0_", "b1_")))
-    long = s.where(F.col("b1_") - F.col("b0_") >= MAX_BUCKETS)
-    pts = points.withColumn("at_", b(num(points, p))).where("at_ is not null")
-    columns = [*L.columns, *R.columns]
-    near = pts.join(short, (F.col("at_") == F.col("bucket_")) & cond).select(*columns)
-    # long intervals: buckets of a width that gives each of them few
-    wide = float(width) * MAX_BUCKETS
-    far = long.withColumn("w0_", F.floor(F.col("lo_") / wide)).withColumn("w1_", F.floor(F.col("hi_") / wide))
-    mid = far.where(F.col("w1_") - F.col("w0_") < MAX_BUCKETS).withColumn("bucket_", F.explode(F.sequence("w0_", "w1_")))
-    rest = far.where(F.col("w1_") - F.col("w0_") >= MAX_BUCKETS)
-    mid_join = points.withColumn("at_", F.floor(num(points, p) / wide)).join(mid, (F.col("at_") == F.col("bucket_")) & cond).select(*columns)
-    return near.unionByName(mid_join).unionByName(points.join(rest, cond).select(*columns))
+        got = s.agg(F.percentile_approx(level, 0.5), F.collect_set(level)).first()
+        least = got[0] if got[0] is not None else 0
+        levels = sorted({max(least, x) for x in got[1]} | {least})
+    else:
+        least = math.ceil(math.log2(width))
+        levels = sorted({max(least, r[0]) for r in s.select(level.alias("v")).where("v is not null").distinct().collect()} | {least})
+    bucket = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level_"))).cast("long")
+    s = s.withColumn("level_", F.greatest(F.lit(least), F.coalesce(level, F.lit(least)))).withColumn("bucket_", F.explode(F.sequence(bucket(F.col("lo_")), bucket(F.col("hi_")))))
+    pts = points.withColumn("at_", F.greatest(-big, F.least(big, num(points, p))))
+    pts = pts.withColumn("level_", F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*[F.lit(x) for x in levels])))
+    pts = pts.withColumn("bucket_", F.when(num(points, p).isNotNull(), bucket(F.col("at_"))))
+    return pts, s.drop("lo_", "hi_"), levels
+
+
+def _bucketed(L: DataFrame, R: DataFrame, plan: tuple, cond: Column, width: float | None) -> DataFrame:
+    """Inner join over buckets."""
+    pts, spans, _ = _levelled(L, R, plan, width)
+    mine = spans.withColumnsRenamed({"level_": "s_level", "bucket_": "s_bucket"})
+    return pts.join(mine, (F.col("level_") == F.col("s_level")) & (F.col("bucket_") == F.col("s_bucket")) & cond).select(*L.columns, *R.columns)
+
+
+def _parts(conditions: tuple, L: DataFrame, R: DataFrame) -> Column:
+    return reduce(lambda x, y: x & y, [_condition(op, _value(col(a), L.schema[a].dataType), _value(col(b), R.schema[b].dataType)) for a, b, op in conditions])
 
 
 def _pairs(L: DataFrame, R: DataFrame, conditions: tuple, range_width: float | str | None) -> tuple[DataFrame | None, Column]:
-    parts = [_condition(op, _value(col(a), L.schema[a].dataType), _value(col(b), R.schema[b].dataType)) for a, b, op in conditions]
-    cond = reduce(lambda x, y: x & y, parts)
+    cond = _parts(conditions, L, R)
+    plan = None if range_width is None else _interval(conditions, L, R)
+    return _bucketed(L, R, plan, cond, None if range_width == "auto" else range_width) if plan else None, cond
+
+
+def _split(conditions: tuple) -> tuple[list, list]:
+    return [c for c in conditions if c[2] == "=="], [c for c in conditions if c[2] != "=="]
+
+
+def _exists(L: DataFrame, R: DataFrame, conditions: tuple, anti: bool, range_width: float | str | None) -> DataFrame:
+    """Rows of L that some row of R matches, or that none does."""
+    equal, other = _split(conditions)
+    how = "left_anti" if anti else "left_semi"
     plan = None if range_width is None else _interval(conditions, L, R)
-    inner = _bucketed(L, R, plan, cond, None if range_width == "auto" else range_width) if plan else None
-    return inner, cond
+    if len(other) == 1:
+        a, b, op = other[0]
+        x, y = _value(col(a), L.schema[a].dataType), _value(col(b), R.schema[b].dataType)
+        wanted = [F.min(y).alias("least_"), F.max(y).alias("most_"), F.count(F.lit(1)).alias("all_"), F.count(y).alias("known_")]
+        if equal:
+            keys = [f"k{i}_" for i in range(len(equal))]
+            one = R.groupBy(*[_value(col(c), R.schema[c].dataType).alias(k) for (_, c, _), k in zip(equal, keys)]).agg(*wanted)
+            out = L.join(one, reduce(lambda p, q: p & q, [_value(col(c), L.schema[c].dataType).eqNullSafe(F.col(k)) for (c, _, _), k in zip(equal, keys)]), "left")
+            least, most, rows, known_ = (F.col(c) for c in ("least_", "most_", "all_", "known_"))
+        else:
+            out = L
+            least, most, rows, known_ = (R.select(c).scalar() for c in wanted)
+        hit = {">": x > least, ">=": x >= least, "<": x < most, "<=": x <= most, "!=": (rows > 0) & (x.isNull() | (rows > known_) | (x != least) | (x != most))}[op]
+        hit = F.coalesce(hit, F.lit(False))
+        return out.where(~hit if anti else hit).select(*L.columns)
+    if plan is None:
+        return L.join(R, _parts(conditions, L, R), how)
+    point_left = plan[0] == "left"
+    if not point_left:
+        L = stable(L.withColumn("lid", F.monotonically_increasing_id()))
+        matched = _bucketed(L, R, plan, _parts(conditions, L, R), None if range_width == "auto" else range_width).select("lid").distinct()
+        return L.join(matched, "lid", how).drop("lid")
+    pts, spans, levels = _levelled(L, R, plan, None if range_width == "auto" else range_width)
+    mine = spans.withColumnsRenamed({"level_": "s_level", "bucket_": "s_bucket"})
+    near = lambda d: (d["level_"] == mine["s_level"]) & (d["bucket_"] == mine["s_bucket"]) & _parts(conditions, L, R)
+    if len(levels) == 1:
+        return pts.join(mine, near(pts), how).select(*L.columns)
+    L = stable(L.withColumn("lid", F.monotonically_increasing_id()))
+    pts, _, _ = _levelled(L, R, plan, None if range_width == "auto" else range_width)
+    matched = pts.join(mine, near(pts), "left_semi").select("lid").distinct()
+    return L.join(matched, "lid", how).drop("lid")
+
+
+def _nearest(L: DataFrame, R: DataFrame, conditions: tuple, keep: str) -> DataFrame:
+    """Every row of L with ``best``: the first or last row of R, by its column ``rid``, that meets the one inequality and all equalities."""
+    equal, ((a, b, op),) = _split(conditions)
+    keys = [f"k{i}_" for i in range(len(equal))]
+    row = lambda d, v, eq, kind, l, best: d.select(_value(col(v), d.schema[v].dataType).alias("v_"), *[_value(col(c), d.schema[c].dataType).alias(k) for c, k in zip(eq, keys)], F.lit(kind).alias("kind_"), l.alias("l_"), best.alias("best_"))
+    left = F.struct(*[col(c) for c in L.columns])
+    right = F.struct(F.col("rid"), *[col(c) for c in R.columns if c != "rid"])
+    kinds = (0, 1) if op in ("<", ">") else (1, 0)
+    right_type, left_type = R.select(right.alias("x")).schema["x"].dataType, L.select(left.alias("x")).schema["x"].dataType
+    both = row(L, a, [x for x, _, _ in equal], kinds[0], left, F.lit(None).cast(right_type)).unionByName(row(R, b, [y for _, y, _ in equal], kinds[1], F.lit(None).cast(left_type), right).where("v_ is not null"))
+    up = op in (">", ">=")
+    # rows without a value come before all others, where no match has been seen
+    order = [F.col("v_").asc_nulls_first() if up else F.col("v_").desc_nulls_first(), F.col("kind_").asc()]
+    take, of = (F.min, F.least) if keep == "first" else (F.max, F.greatest)
+    if equal:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumn("best_", take("best_").over(w)).where("l_ is not null").select("l_.*", F.col("best_").alias("best"))
+    s = stable(both.orderBy(*order).withColumn("m_", F.monotonically_increasing_id())).withColumn("p_", F.shiftright("m_", 33))
+    # a row a partition: the best match of all partitions before
+    before = s.groupBy("p_").agg(take("best_").alias("x_")).select(F.col("p_").alias("q_"), take("x_").over(Window.partitionBy(F.lit(0)).orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)).alias("x_"))
+    w = Window.partitionBy("p_").orderBy("m_").rowsBetween(Window.unboundedPreceding, 0)
+    run = s.withColumn("best_", take("best_").over(w)).where("l_ is not null").join(F.broadcast(before), F.col("p_") == F.col("q_"))
+    return run.select("l_.*", of("best_", "x_").alias("best"))
+
+
+def _sortable(d: DataFrame) -> bool:
+    plain = lambda t: not isinstance(t, (T.MapType, T.VariantType)) and all(plain(x) for x in ([t.elementType] if isinstance(t, T.ArrayType) else [f.dataType for f in t.fields] if isinstance(t, T.StructType) else []))
+    return all(plain(f.dataType) for f in d.schema.fields)
 
 
 def conditional_join(df: DataFrame, right: DataFrame, *conditions: tuple[str, str, str], how: str = "inner", df_columns: Any = slice(None), right_columns: Any = slice(None), keep: str = "all", indicator: bool | str = False, use_numba: bool = False, force: bool = False, order_by=None, left_order_by=None, range_width: float | str | None = "auto", suffixes: tuple[str, str] = ("left_", "right_")) -> DataFrame:
@@ -141,8 +229,9 @@ def conditional_join(df: DataFrame, right: DataFrame, *conditions: tuple[str, st
     ``keep`` first or last is by ``order_by`` on the right side, before outer rows are added: with right
     and outer joins a right row that matched but wasn't kept comes back alone. Missing values meet no
     inequality, equal each other in ``==``, and differ from everything in ``!=``. Columns that both sides have get
-    the prefixes ``suffixes``. ``range_width``: width of the buckets for interval joins, "auto" (90th percentile of the intervals' lengths) or None (no
-    rewrite). ``how`` may be left_semi or left_anti, too. ``use_numba`` and ``force`` change nothing.
+    the prefixes ``suffixes``. ``range_width``: least width of the buckets for interval joins, "auto" (by the median of the intervals' lengths) or None (no
+    rewrite). ``how`` may be left_semi or left_anti, too. A side that is read more than once by its rows' numbers is
+    written once (see ``core.stable``); ``left_order_by``, a unique key, saves that for the left side. ``use_numba`` and ``force`` change nothing.
     """
     no_stream(df, "conditional_join")
     _checked(df, right, conditions, how, keep)
@@ -156,30 +245,46 @@ def conditional_join(df: DataFrame, right: DataFrame, *conditions: tuple[str, st
     L, R = df.toDF(*lname.values()), right.toDF(*rname.values())
     conds = tuple((lname[a], rname[b], op) for a, b, op in conditions)
     if how in ("left_semi", "left_anti"):
-        _, cond = _pairs(L, R, conds, None)
-        out = L.join(R, cond, how)
+        out = _exists(L, R, conds, how == "left_anti", range_width)
         return out.select(*[col(lname[c]).alias(c) for c in resolve(df, df_columns)])
-    lid, rid = "lid", "rid"
-    need_ids = keep != "all" or how != "inner" and range_width is not None and _interval(conds, L, R)
-    if need_ids:
-        key = lambda names, given: F.struct(*[col(names[k]) if isinstance(k, str) else k for k in listed(given)]) if given is not None else F.monotonically_increasing_id()
-        L = L.withColumn(lid, F.monotonically_increasing_id() if left_order_by is None else key(lname, left_order_by))
-        R = R.withColumn(rid, key(rname, order_by))
-    inner, cond = _pairs(L, R, conds, range_width)
-    if keep == "all" and inner is None:
-        both = L.withColumn("lf", F.lit(1)).join(R.withColumn("rf", F.lit(1)), cond, {"outer": "full_outer"}.get(how, how))
+    # columns that aren't asked for don't travel
+    lcols = [] if df_columns is None else resolve(df, df_columns)
+    rcols = [] if right_columns is None else resolve(right, right_columns)
+    named = lambda names, given_: [col(names[k]) if isinstance(k, str) else k for k in listed(given_)]
+    used = lambda names, cols, at, given_: [c for k, c in names.items() if k in set(cols) | set(x for x in listed(given_) if isinstance(x, str)) or c in {x[at] for x in conds}]
+    if not any(isinstance(x, Column) for x in [*listed(order_by), *listed(left_order_by)]):
+        L, R = L.select(*used(lname, lcols, 0, left_order_by)), R.select(*used(rname, rcols, 1, order_by))
+    unmatched_left, unmatched_right = how in ("left", "outer"), how in ("right", "outer")
+    interval = range_width is not None and _interval(conds, L, R)
+    single = keep != "all" and len(_split(conds)[1]) == 1 and _split(conds)[1][0][2] != "!=" and _sortable(R) and _sortable(L)
+    if keep != "all" or unmatched_right and interval:
+        if unmatched_right or order_by is None and keep != "all":
+            R = stable(R.withColumn("rk", F.monotonically_increasing_id()))
+        if keep != "all":
+            R = R.withColumn("rid", F.struct(*named(rname, order_by)) if order_by is not None else F.col("rk"))
+    if (keep != "all" and not single) or unmatched_left and interval:
+        L = L.withColumn("lid", F.struct(*named(lname, left_order_by))) if left_order_by is not None else stable(L.withColumn("lid", F.monotonically_increasing_id()))
+    mark = lambda d, *flags: d.withColumns({f: F.lit(1) for f in flags})
+    rest = [c for c in R.columns]
+    if keep == "all" and not interval:
+        both = mark(L, "lf").join(mark(R, "rf"), _parts(conds, L, R), {"outer": "full_outer"}.get(how, how))
+    elif single:
+        got = _nearest(L, R, conds, keep)
+        got = got if unmatched_left else got.where("best is not null")
+        both = got.select(*L.columns, F.lit(1).alias("lf"), F.when(F.col("best").isNotNull(), 1).alias("rf"), *[F.col("best")[c].alias(c) for c in rest])
+        if unmatched_right:
+            both = both.unionByName(mark(R.join(both.where("rk is not null").select("rk"), "rk", "left_anti"), "rf"), allowMissingColumns=True)
     else:
+        inner, cond = _pairs(L, R, conds, range_width)
         inner = L.join(R, cond) if inner is None else inner
         if keep != "all":
-            w = Window.partitionBy(lid).orderBy(F.col(rid).asc() if keep == "first" else F.col(rid).desc())
+            w = Window.partitionBy("lid").orderBy(F.col("rid").asc() if keep == "first" else F.col("rid").desc())
             inner = inner.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
-        both = inner.withColumn("lf", F.lit(1)).withColumn("rf", F.lit(1))
-        if how in ("left", "outer"):
-            both = both.unionByName(L.join(inner.select(lid).distinct(), lid, "left_anti").withColumn("lf", F.lit(1)), allowMissingColumns=True)
-        if how in ("right", "outer"):
-            both = both.unionByName(R.join(inner.select(rid).distinct(), rid, "left_anti").withColumn("rf", F.lit(1)), allowMissingColumns=True)
-    lcols = [] if df_columns is None else resolve(df, df_columns)
-    rcols = [] if right_columns is None else resolve(right, right_columns)
+        both = mark(inner, "lf", "rf")
+        if unmatched_left:
+            both = both.unionByName(mark(L.join(inner.select("lid").distinct(), "lid", "left_anti"), "lf"), allowMissingColumns=True)
+        if unmatched_right:
+            both = both.unionByName(mark(R.join(inner.select("rk").distinct(), "rk", "left_anti"), "rf"), allowMissingColumns=True)
     clash = set(lcols) & set(rcols)
     out = [col(lname[c]).alias(suffixes[0] + c if c in clash else c) for c in lcols] + [col(rname[c]).alias(suffixes[1] + c if c in clash else c) for c in rcols]
     if flag:
@@ -194,7 +299,7 @@ def get_join_indices(df: DataFrame, right: DataFrame, conditions: list[tuple], k
     ln, rn = {c: f"l{i}" for i, c in enumerate(df.columns)}, {c: f"r{i}" for i, c in enumerate(right.columns)}
 
     def placed(d: DataFrame, names: dict, given, out: str) -> DataFrame:
-        return d.withColumn("pos_", F.row_number().over(Window.orderBy(*order_keys(given))).cast("long") - 1).toDF(*names.values(), out)
+        return numbered(d, "pos_", [col(k) if isinstance(k, str) else k for k in listed(given)]).toDF(*names.values(), out)
 
     L, R = placed(df, ln, left_order_by, "left_index"), placed(right, rn, order_by, "right_index")
     inner, cond = _pairs(L, R, tuple((ln[a], rn[b], op) for a, b, op in conditions), range_width)
