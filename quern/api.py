@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .core import DropLabel, is_boolean, is_datetime, is_float, is_integer, is_numeric, is_string, resolve
-from .functions.guards import deprecated_alias, deprecated_kwargs, idempotent, skiperror, skipna
+from .core import DropLabel, check, check_column, is_boolean, is_datetime, is_float, is_integer, is_numeric, is_string, resolve
+from .functions.guards import deprecated_alias, deprecated_kwargs, dynamic_import, find_stack_level, idempotent, import_message, is_connected, patterns, refactored_function, rename_kwargs, skiperror, skipna
 from .functions.mathx import ecdf, exp, log, logit, normal_cdf, probit, sigmoid, softmax, z_score
 from .functions.text import process_text
 from .operators import domain, filters, joins, reshape, scalar, select, stats
@@ -48,4 +48,4 @@ def register_all() -> list[str]:
     return done
 
 
-__all__ = [*OPERATORS, "DataDescription", "DropLabel", "deprecated_alias", "deprecated_kwargs", "ecdf", "exp", "idempotent", "is_boolean", "is_datetime", "is_float", "is_integer", "is_numeric", "is_string", "log", "logit", "normal_cdf", "probit", "read_commandline", "read_csvs", "read_fasta", "register_all", "register_dataframe_method", "resolve", "sigmoid", "skiperror", "skipna", "softmax", "xlsx_cells", "xlsx_table", "z_score"]
+__all__ = [*OPERATORS, "DataDescription", "DropLabel", "check", "check_column", "deprecated_alias", "deprecated_kwargs", "dynamic_import", "ecdf", "exp", "find_stack_level", "idempotent", "import_message", "is_connected", "patterns", "refactored_function", "rename_kwargs", "is_boolean", "is_datetime", "is_float", "is_integer", "is_numeric", "is_string", "log", "logit", "normal_cdf", "probit", "read_commandline", "read_csvs", "read_fasta", "register_all", "register_dataframe_method", "resolve", "sigmoid", "skiperror", "skipna", "softmax", "xlsx_cells", "xlsx_table", "z_score"]
