@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import re
+import uuid
+import warnings
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import api as q
-from ..functions import mathx
+from ..core import categories, numbered, stable
+from ..functions import guards, mathx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,7 +74,7 @@ p AS (SELECT e.event_id, i.rid FROM events e JOIN i ON e.value >= i.lo AND e.val
 SELECT event_id, count(*) AS n, min(rid) AS first_id FROM p GROUP BY event_id""")
 def _(t):
     right = t.events.select(F.col("event_id").alias("rid"), F.col("value").alias("lo"), (F.col("value") + 0.05).alias("hi"))
-    j = q.conditional_join(t.events.select("event_id", "value"), right, ("value", "lo", ">="), ("value", "hi", "<"), df_columns="event_id", right_columns="rid", range_width=0.05)
+    j = q.conditional_join(t.events.select("event_id", "value"), right, ("value", "lo", ">="), ("value", "hi", "<"), df_columns="event_id", right_columns="rid")
     return j.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first_id"))
 
 
@@ -114,17 +120,46 @@ def _(t):
     return q.conditional_join(t.customer, _part_bounds(t), ("c_acctbal", "lo", ">"), ("c_acctbal", "hi", "<="), how="left_anti", df_columns="c_custkey")
 
 
+@query("conditional_join_semi", f"WITH {_PB} SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM b WHERE c.c_acctbal > b.lo AND c.c_acctbal <= b.hi)")
+def _(t):
+    return q.conditional_join(t.customer, _part_bounds(t), ("c_acctbal", "lo", ">"), ("c_acctbal", "hi", "<="), how="left_semi", df_columns="c_custkey")
+
+
+@query("conditional_join_anti_single", "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE o.o_orderkey = l.l_orderkey AND o.o_orderdate < l.l_shipdate)")
+def _(t):
+    return q.conditional_join(t.orders, t.lineitem, ("o_orderkey", "l_orderkey", "=="), ("o_orderdate", "l_shipdate", "<"), how="left_anti", df_columns="o_orderkey")
+
+
+@query("conditional_join_semi_single", "SELECT event_id FROM events WHERE value > (SELECT min(c_acctbal) FROM customer)")
+def _(t):
+    return q.conditional_join(t.events, t.customer, ("value", "c_acctbal", ">"), how="left_semi", df_columns="event_id")
+
+
+for _keep, _f in (("last", "max"), ("first", "min")):
+    @query(f"asof_{_keep}", f"SELECT o.o_orderkey, {_f}(e.event_id) AS event_id FROM orders o LEFT JOIN events e ON o.o_totalprice > e.value * 100 GROUP BY o.o_orderkey")
+    def _(t, keep=_keep):
+        e = t.events.select("event_id", (F.col("value") * 100).alias("v"))
+        return q.conditional_join(t.orders, e, ("o_totalprice", "v", ">"), how="left", keep=keep, order_by="event_id", df_columns="o_orderkey", right_columns="event_id")
+
+
+@query("asof_outer", """WITH k AS (SELECT c.c_custkey, max(s.s_suppkey) AS s FROM customer c LEFT JOIN supplier s ON c.c_acctbal >= s.s_acctbal GROUP BY 1)
+SELECT c_custkey, s AS s_suppkey FROM k UNION ALL SELECT NULL, s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT s FROM k WHERE s IS NOT NULL)""")
+def _(t):
+    return q.conditional_join(t.customer, t.supplier, ("c_acctbal", "s_acctbal", ">="), how="outer", keep="last", order_by="s_suppkey", df_columns="c_custkey", right_columns="s_suppkey")
+
+
 @query("get_join_indices", """WITH l AS (SELECT s_nationkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS left_index FROM supplier), r AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS right_index FROM nation)
 SELECT left_index, right_index FROM l JOIN r ON s_nationkey >= n_nationkey""")
 def _(t):
     return q.get_join_indices(t.supplier, t.nation, [("s_nationkey", "n_nationkey", ">=")], order_by="n_nationkey", left_order_by="s_suppkey")
 
 
-_SEEN = "s AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_custkey % 7 < 3 AND c_nationkey <> 3 GROUP BY ALL)"
+#: Gaps come from the data: groups whose mean balance is high are nulled out of the counts.
+_SEEN = "s AS (SELECT c_nationkey, c_mktsegment, n FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n, avg(c_acctbal) AS m FROM customer GROUP BY ALL) WHERE m < 4700 AND c_nationkey <> 3)"
 
 
 def _seen(t):
-    return t.customer.where("c_custkey % 7 < 3 and c_nationkey <> 3").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("m")).where("m < 4700 and c_nationkey <> 3").drop("m")
 
 
 @query("complete", f"WITH {_SEEN}, g AS (SELECT * FROM (SELECT DISTINCT c_nationkey FROM s) CROSS JOIN (SELECT DISTINCT c_mktsegment FROM s)) SELECT g.c_nationkey, g.c_mktsegment, coalesce(s.n, 0) AS n FROM g LEFT JOIN s ON s.c_nationkey = g.c_nationkey AND s.c_mktsegment = g.c_mktsegment")
@@ -188,9 +223,14 @@ def _(t):
     return q.clean_names(d, axis=None, column_names="p_name")
 
 
-@query("move", "SELECT s_acctbal, s_suppkey, s_name, s_nationkey FROM supplier")
+@query("move", "SELECT s_suppkey AS c2, s_acctbal AS c1, s_name AS c3, s_nationkey AS c4 FROM supplier")
 def _(t):
-    return q.move(t.supplier, "s_acctbal", "s_suppkey")
+    return q.move(t.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "s_acctbal", "s_suppkey").toDF("c1", "c2", "c3", "c4")
+
+
+@query("move_rows", "SELECT s_suppkey, CASE WHEN k = 0 THEN n - 1 ELSE k - 1 END AS place FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k, count(*) OVER () AS n FROM supplier)")
+def _(t):
+    return _ranked(q.move(t.supplier, 0, position="after", axis=0, order_by="s_suppkey"), "s_suppkey")
 
 
 @query("remove_empty", "SELECT event_id, CASE WHEN value >= 20 THEN value END AS v FROM events")
@@ -219,6 +259,26 @@ def _(t):
     return q.filter_on(t.orders, 'o_totalprice > 1000 & o_orderstatus == "F"').select("o_orderkey")
 
 
+@query("filter_on_not", "SELECT o_orderkey FROM orders WHERE NOT ((o_totalprice > 5000 AND o_totalprice < 100000) OR o_orderstatus IN ('F', 'P')) AND o_orderpriority <> '[x]'")
+def _(t):
+    return q.filter_on(t.orders, "~((o_totalprice > 5000 & o_totalprice < 100000) | o_orderstatus in ['F', 'P']) and `o_orderpriority` != '[x]'").select("o_orderkey")
+
+
+@query("filter_on_missing", f"SELECT event_id FROM ({GAPS}) WHERE v IS NULL OR NOT v > 60")
+def _(t):
+    return q.filter_on(gaps(t), "v > 60", complement=True).select("event_id")
+
+
+@query("case_when_text", "SELECT o_orderkey, CASE WHEN NOT (o_totalprice > 5000 OR o_orderstatus = 'F') THEN 'low' WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'calm' ELSE 'rest' END AS tag FROM orders")
+def _(t):
+    return q.case_when(t.orders, "not (o_totalprice > 5000 | o_orderstatus == 'F')", "low", "o_orderpriority not in ['1-URGENT', '2-HIGH']", "calm", default="rest", column_name="tag").select("o_orderkey", "tag")
+
+
+@query("update_where_text", "SELECT c_custkey, CASE WHEN NOT (c_acctbal >= 0 AND c_mktsegment = 'BUILDING') THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(t):
+    return q.update_where(t.customer, "~(c_acctbal >= 0 & c_mktsegment == 'BUILDING')", "c_acctbal", 0.0).select("c_custkey", "c_acctbal")
+
+
 @query("filter_date", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND month(o_orderdate) IN (3, 4, 12)")
 def _(t):
     return q.filter_date(t.orders, "o_orderdate", start_date="1995-01-01", months=[3, 4, 12]).select("o_orderkey", "o_orderdate")
@@ -249,19 +309,24 @@ def _(t):
     return q.groupby_topk(t.lineitem, "l_returnflag", "l_quantity", 5, order_by=LINE).select("l_returnflag", *LINE)
 
 
-@query("shuffle")
+def _ranked(d, *keep):
+    """The place of each row as the sorted table gives them."""
+    return numbered(d, "place").select(*keep, "place")
+
+
+@query("shuffle", "SELECT * FROM customer")
 def _(t):
     return q.shuffle(t.customer, random_state=7)
 
 
-@query("sort_column_value_order", "SELECT o_orderkey, o_orderstatus FROM orders")
+@query("sort_column_value_order", "SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, o_orderkey) - 1 AS place FROM orders")
 def _(t):
-    return q.sort_column_value_order(t.orders, "o_orderstatus", {"P": 1, "F": 2}, "o_orderkey").select("o_orderkey", "o_orderstatus")
+    return _ranked(q.sort_column_value_order(t.orders, "o_orderstatus", {"P": 1, "F": 2}, "o_orderkey"), "o_orderkey", "o_orderstatus")
 
 
-@query("sort_naturally", "SELECT c_custkey, c_name FROM customer")
+@query("sort_naturally", "SELECT name, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM (SELECT c_custkey, 'No. ' || c_custkey AS name FROM customer)")
 def _(t):
-    return q.sort_naturally(t.customer, "c_name").select("c_custkey", "c_name")
+    return _ranked(q.sort_naturally(t.customer.select(F.concat(F.lit("No. "), F.col("c_custkey").cast("string")).alias("name")), "name"), "name")
 
 
 # -- scalar columns
@@ -340,9 +405,10 @@ def _(t):
     return q.flag_nulls(gaps(t)).select("event_id", "null_flag")
 
 
-@query("jitter")
+@query("jitter", "SELECT event_id, value, true AS near, true AS inside FROM events")
 def _(t):
-    return q.jitter(t.events.select("event_id", "value"), "value", "noisy", 0.5, random_state=3)
+    d = q.jitter(t.events.select("event_id", "value"), "value", "noisy", 0.5, clip=[-1000, 1000], random_state=3)
+    return d.select("event_id", "value", ((F.col("noisy") != F.col("value")) & (F.abs(F.col("noisy") - F.col("value")) < 10)).alias("near"), F.col("noisy").between(-1000, 1000).alias("inside"))
 
 
 @query("transform_columns", "SELECT c_custkey, upper(c_mktsegment) AS c_mktsegment_up FROM customer")
@@ -367,9 +433,9 @@ def _(t):
     return q.concatenate_columns(t.part, ["p_brand", "p_type"], "x").select("p_partkey", "x")
 
 
-@query("deconcatenate_column", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS p1, split_part(o_orderpriority, '-', 2) AS p2 FROM orders WHERE contains(o_orderpriority, '-')")
+@query("deconcatenate_column", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS p1, CASE WHEN contains(o_orderpriority, '-') THEN split_part(o_orderpriority, '-', 2) END AS p2 FROM orders")
 def _(t):
-    d = t.orders.where(F.col("o_orderpriority").contains("-")).select("o_orderkey", "o_orderpriority")
+    d = t.orders.select("o_orderkey", "o_orderpriority")
     return q.deconcatenate_column(d, "o_orderpriority", "-", ["p1", "p2"]).select("o_orderkey", "p1", "p2")
 
 
@@ -442,9 +508,15 @@ def _(t):
     return q.count_cumulative_unique(t.events, "user_id", "n", order_by="event_id").select("event_id", "n")
 
 
-@query("data_description")
+_COUNTED = " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS type, count({c}) AS count, round(1 - count({c}) / count(*), 9) AS pct_missing, '{text}' AS description FROM g" for c, k, text in (("event_id", "bigint", "number"), ("user_id", "bigint", ""), ("event_type", "string", ""), ("v", "double", "what was measured")))
+
+
+@query("data_description", f"WITH g AS ({GAPS}) {_COUNTED}")
 def _(t):
-    return q.DataDescription(gaps(t)).df
+    d = q.DataDescription(gaps(t).drop("ts").withColumn("user_id", F.col("user_id").cast("bigint")))
+    d.set_description({"event_id": "number", "v": "what was measured"})
+    d.display()
+    return d.df.withColumn("pct_missing", F.round("pct_missing", 9))
 
 
 @query("fill_direction", f"SELECT event_id, user_id, coalesce(last_value(v IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM ({GAPS}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -457,11 +529,11 @@ def _(t):
     return q.flag_jumps(t.events, scale="absolute", threshold=20, order_by=["ts", "event_id"], partition_by="user_id", columns="value").select("event_id", "value_jump_flag")
 
 
-_DAYS = "d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1)"
+_DAYS = "d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY 1)"
 
 
 def _days(t):
-    return t.events.where("event_id % 3 = 0").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0")
+    return t.events.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0")
 
 
 @query("fill_missing_timestamps", f"WITH {_DAYS}, e AS (SELECT * FROM d WHERE n % 2 = 0), g AS (SELECT unnest(generate_series((SELECT min(day) FROM e), (SELECT max(day) FROM e), INTERVAL 1 DAY)) AS day) SELECT g.day, e.n FROM g LEFT JOIN e ON g.day = e.day")
@@ -474,9 +546,9 @@ def _(t):
     return q.get_missing_timestamps(_days(t), "D", timestamp_column="day")
 
 
-@query("sort_timestamps", "SELECT user_id, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY event_id) AS r FROM events) WHERE r = 1")
+@query("sort_timestamps", "SELECT user_id, ts, event_id, row_number() OVER (ORDER BY ts DESC) - 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY event_id) AS r FROM events) WHERE r = 1")
 def _(t):
-    return q.sort_timestamps_monotonically(t.events, strict=True, order_by="event_id").select("user_id", "ts", "event_id")
+    return _ranked(q.sort_timestamps_monotonically(t.events, "decreasing", strict=True, order_by="event_id"), "user_id", "ts", "event_id")
 
 
 # -- reshaping
@@ -504,18 +576,317 @@ def _(t):
     return q.pivot_wider(d, "o_orderpriority", "o_orderstatus", "n", names_values=["F", "O", "P"])
 
 
+# -- operators whose result is no large table, shown over whole tables all the same
+
+
+def _folder(t: Tables, name: str) -> str:
+    """A new folder in the shared one."""
+    stable(t.spark.range(1))
+    return f"{t.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("read_csvs", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(t):
+    path = _folder(t, "csv")
+    t.nation.repartition(3, "n_nationkey").write.option("header", True).csv(path)
+    return q.read_csvs(t.spark, f"{path}/part-*.csv").select(F.col("n_nationkey").cast(t.nation.schema["n_nationkey"].dataType).alias("n_nationkey"), "n_name", F.col("n_regionkey").cast(t.nation.schema["n_regionkey"].dataType).alias("n_regionkey"))
+
+
+@query("read_commandline", "SELECT 1 AS a, 'x' AS b UNION ALL SELECT 2, 'y'")
+def _(t):
+    return q.read_commandline(t.spark, ["printf", "a,b\\n1,x\\n2,y\\n"])
+
+
+@query("join_fasta", "SELECT p_partkey, p_name || p_name AS seq FROM part")
+def _(t):
+    path = _folder(t, "fasta")
+    letters = F.regexp_replace("p_name", r"\s", "")
+    t.part.select(F.concat(F.lit(">"), F.col("p_partkey").cast("string"), F.lit(" some part\n"), letters, F.lit("\n"), letters)).write.text(path)
+    d = q.join_fasta(t.part.select("p_partkey", "p_name", F.col("p_partkey").cast("string").alias("id")), path, "id", "seq")
+    return d.select("p_partkey", F.when(F.col("seq") == F.concat(letters, letters), F.concat("p_name", "p_name")).alias("seq"))
+
+
+def _workbook(t: Tables) -> str:
+    """The nation table as a spreadsheet in the shared folder."""
+    m, r = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    p = "http://schemas.openxmlformats.org/package/2006/relationships"
+    rows = [("key", "name")] + [(x["n_nationkey"], x["n_name"]) for x in t.nation.orderBy("n_nationkey").collect()]
+    cell = lambda ref, v: f'<c r="{ref}"><v>{v}</v></c>' if isinstance(v, int) else f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+    sheet = "".join(f'<row r="{i}">{cell(f"A{i}", a)}{cell(f"B{i}", b)}</row>' for i, (a, b) in enumerate(rows, 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{m}" xmlns:r="{r}"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{p}"><Relationship Id="rId1" Type="{r}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{m}"><sheetData>{sheet}</sheetData></worksheet>')
+        z.writestr("xl/worksheets/_rels/sheet1.xml.rels", f'<Relationships xmlns="{p}"><Relationship Id="r1" Type="{r}/table" Target="../tables/table1.xml"/></Relationships>')
+        z.writestr("xl/tables/table1.xml", f'<table xmlns="{m}" displayName="T" ref="A1:B{len(rows)}"><tableColumns><tableColumn name="key"/><tableColumn name="name"/></tableColumns></table>')
+    path = _folder(t, "book") + ".xlsx"
+    jvm = t.spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(t.spark._jsc.hadoopConfiguration()).create(at)
+    stream.write(out.getvalue())
+    stream.close()
+    return path
+
+
+@query("xlsx_table", "SELECT n_nationkey::BIGINT AS key, n_name AS name FROM nation")
+def _(t):
+    return q.xlsx_table(t.spark, _workbook(t), table="T").select(F.col("key").cast("long").alias("key"), "name")
+
+
+@query("xlsx_cells", "WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) + 1 AS i FROM nation) SELECT 'A' || i AS coordinate, n_nationkey::VARCHAR AS value FROM n UNION ALL SELECT 'B' || i, n_name FROM n UNION ALL SELECT 'A1', 'key' UNION ALL SELECT 'B1', 'name'")
+def _(t):
+    return q.xlsx_cells(t.spark, _workbook(t)).select("coordinate", F.regexp_replace("value", r"\.0$", "").alias("value"))
+
+
+@query("select_columns", "SELECT s_name, s_acctbal FROM supplier")
+def _(t):
+    return q.select_columns(t.supplier, ["s_suppkey", "s_nationkey"], invert=True)
+
+
+@query("select_by_table", "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier")
+def _(t):
+    return q.select(t.supplier, lambda d: [c for c, k in d.dtypes if k != "string"])
+
+
+@query("get_index_labels", "SELECT unnest(['c_custkey', 'c_nationkey']) AS label")
+def _(t):
+    return t.spark.createDataFrame([(x,) for x in q.get_index_labels(t.customer, re.compile("key$"))], "label string")
+
+
+@query("get_columns", "SELECT c_nationkey, sum(c_acctbal) AS c_acctbal FROM customer GROUP BY c_nationkey")
+def _(t):
+    keys, rest = q.get_columns(t.customer.select("c_nationkey", "c_acctbal"), "c_nationkey", "*")
+    return t.customer.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rest])
+
+
+@query("remove_columns", "SELECT p_partkey, p_name, p_brand FROM part")
+def _(t):
+    return q.remove_columns(t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), ["p_type", "p_size"])
+
+
+@query("rename_column", "SELECT p_partkey AS key, p_name FROM part")
+def _(t):
+    return q.rename_column(t.part.select("p_partkey", "p_name"), "p_partkey", "key")
+
+
+@query("rename_columns", "SELECT p_partkey AS P_PARTKEY_X, p_name AS P_NAME_X FROM part")
+def _(t):
+    return q.rename_columns(t.part.select("p_partkey", "p_name"), function=lambda c: c.upper() + "_X")
+
+
+@query("limit_column_characters", "SELECT c_custkey AS c_c, c_name AS c_n, c_nationkey AS c_n_1 FROM customer")
+def _(t):
+    return q.limit_column_characters(t.customer.select("c_custkey", "c_name", "c_nationkey"), 3)
+
+
+@query("collapse_levels", "SELECT c_custkey AS id, c_name AS who_name, c_nationkey AS who_at_nation, c_acctbal AS who_at_money FROM customer")
+def _(t):
+    at = F.struct(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("money"))
+    return q.collapse_levels(t.customer.select(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name"), at.alias("at")).alias("who")))
+
+
+@query("explode_index", "SELECT c_custkey AS id, c_nationkey AS a, c_acctbal AS b FROM customer")
+def _(t):
+    d = q.explode_index(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("at_x_nation"), F.col("c_acctbal").alias("at_x_money")), names_sep="_")
+    return d.select("id", F.col("at.x.nation").alias("a"), F.col("at.x.money").alias("b"))
+
+
+@query("change_index_dtype", "SELECT c_custkey::VARCHAR AS c_custkey, c_nationkey::DOUBLE AS c_nationkey FROM customer")
+def _(t):
+    return q.change_index_dtype(t.customer.select("c_custkey", "c_nationkey"), {"c_custkey": "string", "c_nationkey": "double"})
+
+
+@query("drop_duplicate_columns", "SELECT c_custkey AS a, c_name AS b FROM customer")
+def _(t):
+    return q.drop_duplicate_columns(t.customer.select("c_custkey", "c_name", "c_nationkey").toDF("a", "b", "a"), "a", 1)
+
+
+@query("label_encode", "WITH f AS (SELECT c_mktsegment, min(c_custkey) AS m FROM customer GROUP BY 1), c AS (SELECT c_mktsegment, row_number() OVER (ORDER BY m) - 1 AS k FROM f) SELECT c_custkey, c.k AS c_mktsegment_enc FROM customer JOIN c USING (c_mktsegment)")
+def _(t):
+    return q.label_encode(t.customer, "c_mktsegment", order_by="c_custkey").select("c_custkey", "c_mktsegment_enc")
+
+
+@query("encode_categorical_found", "SELECT DISTINCT o_orderstatus AS category, true AS kept FROM orders")
+def _(t):
+    d = q.encode_categorical(t.orders, o_orderstatus="sort")
+    return t.spark.createDataFrame([(x,) for x in categories(d, "o_orderstatus")], "category string").join(d.select(F.col("o_orderstatus").alias("category"), F.lit(True).alias("kept")).distinct(), "category", "left")
+
+
+@query("unionize_categories", "SELECT unnest(['F', 'O', 'P']) AS category")
+def _(t):
+    a, b = q.encode_categorical(t.orders, o_orderstatus=["F", "O"]), q.encode_categorical(t.orders, o_orderstatus=["O", "P"])
+    both = [categories(d, "o_orderstatus") for d in q.unionize_dataframe_categories(a, b)]
+    return t.spark.createDataFrame([(x,) for x in both[0] if x in both[1]], "category string")
+
+
+@query("toset", "SELECT DISTINCT o_orderpriority AS v FROM orders")
+def _(t):
+    return t.spark.createDataFrame([(x,) for x in q.toset(t.orders, "o_orderpriority")], "v string")
+
+
+@query("get_features_targets", "SELECT c_acctbal, c_nationkey, c_mktsegment FROM customer")
+def _(t):
+    d = t.customer.select("c_acctbal", "c_nationkey", "c_mktsegment")
+    x, y = q.get_features_targets(d, "c_mktsegment")
+    return d.select(*x.columns, *y.columns)
+
+
+@query("fill_empty", f"SELECT event_id, coalesce(v, -1.0) AS v FROM ({GAPS})")
+def _(t):
+    return q.fill_empty(gaps(t), "v", -1.0).select("event_id", "v")
+
+
+@query("bin_numeric_found", "WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT event_id, least(3, greatest(0, ceil((value - lo) / ((hi - lo) / 4)) - 1))::INTEGER AS b FROM events, e")
+def _(t):
+    return q.bin_numeric(t.events, "value", "b", 4, labels=["0", "1", "2", "3"]).select("event_id", F.col("b").cast("int").alias("b"))
+
+
+@query("bin_numeric_intervals", "SELECT event_id, CASE WHEN value > 10 AND value <= 20 THEN '(10, 20]' WHEN value > 30 AND value <= 50 THEN '(30, 50]' END AS b FROM events")
+def _(t):
+    return q.bin_numeric(t.events, "value", "b", [(10, 20), (30, 50)]).select("event_id", "b")
+
+
+@query("transform_column", "SELECT c_custkey, length(c_name) * 2 AS n FROM customer")
+def _(t):
+    return q.transform_column(t.customer, "c_name", lambda s: len(s) * 2, "n", returns="bigint").select("c_custkey", "n")
+
+
+@query("join_apply_python", "SELECT s_suppkey, s_name || ':' || s_nationkey AS x FROM supplier")
+def _(t):
+    return q.join_apply(t.supplier, lambda r: f"{r['s_name']}:{r['s_nationkey']}", "x", returns="string").select("s_suppkey", "x")
+
+
+@query("also_then", "SELECT count(*) AS n FROM supplier WHERE s_acctbal > 0")
+def _(t):
+    seen = []
+    d = q.also(t.supplier, lambda x: seen.append(x.columns))
+    return q.then(d, lambda x: x.where("s_acctbal > 0")).agg(F.count(F.lit(1)).alias("n")) if seen else d
+
+
+@query("convert_currency", "SELECT s_suppkey, round(s_acctbal * (1.25 / 0.5)::DOUBLE, 6) AS b FROM supplier")
+def _(t):
+    d = q.convert_currency(t.supplier, "s_acctbal", "A", "B", {"A": 1.25, "B": 0.5}, make_new_column=True)
+    return d.select("s_suppkey", F.round("s_acctbal_B", 6).alias("b"))
+
+
+@query("convert_stock", "SELECT s_suppkey, n_name AS name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey > 3")
+def _(t):
+    symbol = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+    names = t.nation.where("n_nationkey > 3").select(F.upper(symbol("n_nationkey")).alias("symbol"), F.col("n_name").alias("name"))
+    return q.convert_stock(t.supplier.select("s_suppkey", symbol("s_nationkey").alias("symbol")), names).select("s_suppkey", "name")
+
+
+@query("get_symbol", "SELECT n_name AS name FROM nation WHERE n_nationkey = 7")
+def _(t):
+    known = {f"N{r['n_nationkey']}": r["n_name"] for r in t.nation.collect()}
+    return t.spark.createDataFrame([(q.get_symbol("n7", known),)], "name string")
+
+
+@query("logit", "SELECT event_id, CASE WHEN value > 0 AND value < 1000 THEN round(ln((value / 1000) / (1 - value / 1000)), 8) END AS x FROM events")
+def _(t):
+    return t.events.select("event_id", F.round(mathx.logit(F.col("value") / 1000), 8).alias("x"))
+
+
+@query("softmax_all", "SELECT c_custkey, round(exp(c_acctbal / 1000 - m) / sum(exp(c_acctbal / 1000 - m)) OVER (), 10) AS s FROM customer, (SELECT max(c_acctbal / 1000) AS m FROM customer)")
+def _(t):
+    return t.customer.select("c_custkey", F.round(mathx.softmax(F.col("c_acctbal") / 1000, df=t.customer), 10).alias("s"))
+
+
+@query("complete_left", f"WITH {_SEEN}, g AS (SELECT unnest(range(5, 9)) AS k) SELECT g.k::INTEGER AS c_nationkey, s.c_mktsegment, coalesce(s.n, -1) AS n FROM g LEFT JOIN s ON s.c_nationkey = g.k")
+def _(t):
+    d = _seen(t).withColumn("c_nationkey", F.col("c_nationkey").cast("long"))
+    return q.complete(d, {"c_nationkey": [5, 6, 7, 8]}, fill_value={"n": -1}, mode="left").withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+
+
+@query("row_to_names_several", "SELECT n_nationkey AS \"0_1\", n_name AS head_top FROM nation WHERE n_nationkey > 1")
+def _(t):
+    k = F.col("n_nationkey")
+    d = t.nation.select(k, F.when(k == 0, "head").when(k == 1, "top").otherwise(F.col("n_name")).alias("n"))
+    return q.row_to_names(d, [0, 1], remove_rows=True, order_by="n_nationkey")
+
+
+@query("pivot_wider_found", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
+def _(t):
+    d = t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return q.pivot_wider(d, "o_orderpriority", "o_orderstatus", "n")
+
+
+@query("clone_using", "SELECT n_nationkey, (row_number() OVER (ORDER BY n_nationkey) - 1) * 2 AS value FROM nation")
+def _(t):
+    d = t.nation.select("n_nationkey", F.lit(0).alias("value"))
+    return q.clone_using(d, [i * 2 for i in range(t.nation.count())], ["n_nationkey"]).withColumn("value", F.col("value").cast("long"))
+
+
+@query("datetime_to_number", "SELECT o_orderkey, (date_diff('microsecond', TIMESTAMP '1970-01-01', o_orderdate::TIMESTAMP) / 86400000000)::DOUBLE AS o_orderdate FROM orders")
+def _(t):
+    return q.convert_datetime_to_number(t.orders.select("o_orderkey", "o_orderdate"), "D", "o_orderdate")
+
+
+@query("groupby_agg_python", "SELECT c_custkey, max(c_acctbal) OVER (PARTITION BY c_nationkey) - min(c_acctbal) OVER (PARTITION BY c_nationkey) AS spread FROM customer")
+def _(t):
+    return q.groupby_agg(t.customer, "c_nationkey", "spread", "c_acctbal", lambda s: s.max() - s.min(), series=True).select("c_custkey", "spread")
+
+
+@query("skipna_skiperror", f"SELECT event_id, CASE WHEN v IS NULL THEN NULL WHEN v >= 60 THEN -1.0 ELSE v * 2 END AS x FROM ({GAPS})")
+def _(t):
+    def double(v):
+        if v >= 60:
+            raise ValueError(v)
+        return v * 2
+
+    f = F.udf(guards.skipna(guards.skiperror(double, return_val=-1.0)), "double", useArrow=True)
+    return gaps(t).select("event_id", f("v").alias("x"))
+
+
+@query("checks", "SELECT unnest(['type', 'absent', 'present', 'gone', 'both', 'idempotent']) AS refused")
+def _(t):
+    renamed = guards.deprecated_alias(old="new")(lambda new=None: new)
+    gone = guards.deprecated_kwargs("old")(lambda **k: k)
+    tries = {
+        "type": lambda: q.check("x", 1, [str]), "absent": lambda: q.check_column(t.nation, "zz"), "present": lambda: q.check_column(t.nation, "n_name", present=False), "gone": lambda: gone(old=1),
+        "both": lambda: renamed(old=1, new=2), "idempotent": lambda: q.idempotent(lambda d: d.withColumn("n_nationkey", F.col("n_nationkey") + 1), t.nation), "fine": lambda: q.idempotent(q.clean_names, t.nation), "right": lambda: q.check("x", "a", [str]),
+    }
+    refused = []
+    for name, f in tries.items():
+        try:
+            f()
+        except (TypeError, ValueError, AssertionError):
+            refused.append((name,))
+    return t.spark.createDataFrame(refused, "refused string")
+
+
+@query("helpers", "SELECT unnest(['alias', 'refactored', 'patterns', 'import', 'level', 'modules', 'offline', 'method']) AS works")
+def _(t):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        kwargs = {"old": 1}
+        guards.rename_kwargs("f", kwargs, {"old": "new"})
+
+        def only_names(df):
+            return df.select("n_name")
+
+        if not hasattr(DataFrame, "only_names"):
+            q.register_dataframe_method(only_names)
+        works = {
+            "alias": kwargs == {"new": 1}, "refactored": guards.refactored_function("moved")(lambda: 5)() == 5, "patterns": guards.patterns("^n").search("nation") is not None, "import": "pip install x" in guards.import_message("m", "x", pip_install=True),
+            "level": guards.find_stack_level() >= 1, "modules": "quern.functions.text" in guards.dynamic_import("quern.functions"), "offline": not guards.is_connected("nowhere.invalid", timeout=0.2), "method": t.nation.only_names().columns == ["n_name"],
+        }
+    return t.spark.createDataFrame([(k,) for k, ok in works.items() if ok], "works string")
+
+
 # -- mathematics
 
 
-@query("math", "SELECT event_id, round(ln(value), 8) AS log, round(1 / (1 + exp(-value / 100)), 8) AS sigmoid, round(exp(value / 100), 8) AS exp FROM events WHERE value > 0")
+@query("math", "SELECT event_id, CASE WHEN value > 0 THEN round(ln(value), 8) END AS log, round(1 / (1 + exp(-value / 100)), 8) AS sigmoid, round(exp(value / 100), 8) AS exp FROM events")
 def _(t):
     v = F.col("value")
-    return t.events.where("value > 0").select("event_id", F.round(mathx.log(v), 8).alias("log"), F.round(mathx.sigmoid(v / 100), 8).alias("sigmoid"), F.round(mathx.exp(v / 100), 8).alias("exp"))
+    return t.events.select("event_id", F.round(mathx.log(v), 8).alias("log"), F.round(mathx.sigmoid(v / 100), 8).alias("sigmoid"), F.round(mathx.exp(v / 100), 8).alias("exp"))
 
 
 @query("z_score", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_samp(c_acctbal) FROM customer), 6) AS z FROM customer")
 def _(t):
-    return t.customer.select("c_custkey", F.round(mathx.z_score(F.col("c_acctbal")), 6).alias("z"))
+    return t.customer.select("c_custkey", F.round(mathx.z_score(F.col("c_acctbal"), df=t.customer), 6).alias("z"))
 
 
 @query("softmax", "SELECT c_custkey, round(exp(x - max(x) OVER (PARTITION BY c_nationkey)) / sum(exp(x - m)) OVER (PARTITION BY c_nationkey), 8) AS s FROM (SELECT *, c_acctbal / 1000 AS x, max(c_acctbal / 1000) OVER (PARTITION BY c_nationkey) AS m FROM customer)")

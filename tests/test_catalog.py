@@ -48,9 +48,17 @@ def test_entry_without_llm(monkeypatch, spark):
 
     def no_llm(name, *a, **k):
         if name.startswith(("quern.llm", "corpus_pipeline")):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *a, **k)
 
+    def broken(name, *a, **k):
+        if name == "quern.llm" or name == "corpus_pipeline":
+            raise ModuleNotFoundError("x", name="some_library")
+        return real(name, *a, **k)
+
+    monkeypatch.setattr(builtins, "__import__", broken)
+    with pytest.raises(ModuleNotFoundError):
+        e.queries()
     monkeypatch.setattr(builtins, "__import__", no_llm)
     assert set(e.queries()) == set(catalog.QUERIES)
     assert set(e.oracle_sql()) == set(catalog.ORACLES)

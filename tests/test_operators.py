@@ -211,3 +211,111 @@ def test_registration(spark):
     assert spark.range(3).withColumn("x", F.lit(1)).first_column_only().columns == ["id"]
     with pytest.raises(ValueError):
         q.register_dataframe_method(lambda df: df) if False else q.register_dataframe_method(type("f", (), {"__name__": "select", "__call__": lambda s, d: d})())
+
+
+names = st.sampled_from(["a", "b", "`c d`"])
+atoms = st.one_of(
+    st.tuples(names, st.sampled_from(["<", "<=", ">", ">=", "==", "!="]), st.integers(-3, 3)).map(lambda t: f"{t[0]} {t[1]} {t[2]}"),
+    st.tuples(names, st.sampled_from(["in", "not in"]), st.lists(st.integers(-3, 3), min_size=1, max_size=3)).map(lambda t: f"{t[0]} {t[1]} {t[2]}"),
+    st.tuples(st.sampled_from(["==", "!="]), st.sampled_from(["x[1]", "p & q", "~r", "it's | so"])).map(lambda t: f's {t[0]} "{t[1]}"'),
+)
+texts = st.recursive(atoms, lambda x: st.one_of(st.tuples(x, st.sampled_from([" & ", " | ", " and ", " or "]), x).map(lambda t: f"({t[0]}{t[1]}{t[2]})"), x.map(lambda t: f"not ({t})"), x.map(lambda t: f"~({t})")), max_leaves=6)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts, st.booleans())
+def test_conditions_against_python(spark, text, complement):
+    rows = [(i, a, float(b) if b is not None else math.nan, c, s) for i, (a, b, c, s) in enumerate(itertools.product([-2, 0, 3, None], [1, None], [0, 2], ["x[1]", "p & q", "~r", "it's | so", None]))]
+    d = spark.createDataFrame(rows, "i long, a long, b double, `c d` long, s string")
+
+    class Maybe:
+        """A value that meets no comparison but != where it is missing."""
+
+        def __init__(self, v):
+            self.v = None if v != v else v
+
+        def __eq__(self, o):
+            return self.v is not None and self.v == o
+
+        def __ne__(self, o):
+            return self.v is None or self.v != o
+
+        __hash__ = None
+
+        def __lt__(self, o):
+            return self.v is not None and self.v < o
+
+        def __le__(self, o):
+            return self.v is not None and self.v <= o
+
+        def __gt__(self, o):
+            return self.v is not None and self.v > o
+
+        def __ge__(self, o):
+            return self.v is not None and self.v >= o
+
+    bare = "".join(x if x[:1] == '"' else x.replace("&", " and ").replace("|", " or ").replace("~", " not ").replace("`c d`", "c_d") for x in __import__("re").split(r'("[^"]*")', text))
+    want = {i for i, a, b, c, s in rows if eval(bare, {"a": Maybe(a), "b": Maybe(b), "c_d": Maybe(c), "s": Maybe(s)}) != complement}
+    assert {r["i"] for r in q.filter_on(d, text, complement).collect()} == want
+
+
+def test_conditions(spark):
+    d = spark.createDataFrame([(1, 1.0, "a"), (2, None, "b"), (3, 3.0, None)], "a long, b double, s string")
+    assert out(q.filter_on(d, "a % 2 == 1 and -b < -2").select("a")) == [(3,)]
+    assert out(q.filter_on(d, "1 < a <= 2").select("a")) == [(2,)] and out(q.filter_on(d, "s is None or b is not None").select("a"), "a") == [(1,), (3,)]
+    assert out(q.filter_on(d, "length(s) = 1 AND s LIKE 'a%'").select("a")) == [(1,)] and out(q.filter_on(d, "upper(s) == 'B'").select("a")) == [(2,)]
+    assert out(q.update_where(d, "~(a > 1)", "s", "z").select("s"), "s") == [(None,), ("b",), ("z",)]
+
+
+@few
+@given(st.lists(maybe, max_size=7), st.lists(maybe, max_size=7), st.sampled_from([">", ">=", "<", "<="]), st.sampled_from(["first", "last"]), st.sampled_from(["inner", "left", "outer", "left_semi", "left_anti"]), st.booleans())
+def test_single_inequality_against_python(spark, left, right, op, keep, how, equal):
+    import operator
+
+    f = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}[op]
+    a = spark.createDataFrame([(i, x, i % 2) for i, x in enumerate(left)], "i long, x long, k long")
+    b = spark.createDataFrame([(j, y, j % 2) for j, y in enumerate(right)], "j long, y long, m long")
+    match = {i: [j for j, y in enumerate(right) if None not in (x, y) and f(x, y) and (not equal or i % 2 == j % 2)] for i, x in enumerate(left)}
+    conditions = [("x", "y", op)] + ([("k", "m", "==")] if equal else [])
+    if how.startswith("left_"):
+        got = q.conditional_join(a, b, *conditions, how=how, df_columns="i")
+        assert sorted(r[0] for r in got.collect()) == [i for i in match if bool(match[i]) == (how == "left_semi")]
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+        return
+    pick = min if keep == "first" else max
+    want = [(i, pick(js)) for i, js in match.items() if js] + [(i, None) for i, js in match.items() if not js and how != "inner"]
+    if how == "outer":
+        want += [(None, j) for j in range(len(right)) if j not in {p[1] for p in want}]
+    got = q.conditional_join(a, b, *conditions, how=how, keep=keep, order_by="j", df_columns="i", right_columns="j")
+    assert sorted(out(got), key=repr) == sorted(want, key=repr)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@few
+@given(st.lists(maybe, max_size=7), st.lists(st.tuples(maybe, st.one_of(maybe, st.just(1000))), max_size=7), st.sampled_from(["left_semi", "left_anti"]), st.booleans())
+def test_interval_exists_against_python(spark, points, spans, how, turned):
+    a = spark.createDataFrame(list(enumerate(points)), "i long, x long")
+    b = spark.createDataFrame([(j, *r) for j, r in enumerate(spans)], "j long, lo long, hi long")
+    inside = lambda x, r: None not in (x, *r) and r[0] <= x < r[1]
+    if turned:
+        got = q.conditional_join(b, a, ("lo", "x", "<="), ("hi", "x", ">"), how=how, df_columns="j")
+        want = [j for j, r in enumerate(spans) if any(inside(x, r) for x in points) == (how == "left_semi")]
+    else:
+        got = q.conditional_join(a, b, ("x", "lo", ">="), ("x", "hi", "<"), how=how, df_columns="i")
+        want = [i for i, x in enumerate(points) if any(inside(x, r) for r in spans) == (how == "left_semi")]
+    assert sorted(r[0] for r in got.collect()) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_of_rows(spark):
+    from quern.core import bounded, numbered
+
+    d = spark.range(1000, numPartitions=7).select((F.col("id") * 7 % 1000).alias("v"))
+    assert sorted(out(numbered(d, "n", [F.col("v")]))) == [(i, i) for i in range(1000)]
+    assert sorted(r["n"] for r in numbered(d, "n").collect()) == list(range(1000)) and numbered(d.limit(0), "n").count() == 0
+    with pytest.raises(ValueError):
+        bounded(d, "test", 999)
+    plan = mathx.probit(mathx.normal_cdf(mathx.probit(mathx.normal_cdf(F.col("v") / 1000))))
+    assert len(d.select(plan.alias("p"))._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    x = d.select("v", plan.alias("p")).where("v = 500").first()
+    assert abs(x["p"] - 0.5) < 1e-14
