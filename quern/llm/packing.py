@@ -9,14 +9,17 @@ are compared with every node there is, and as many cells are searched as hold ``
 neighbours; at ``LEAST`` cells or fewer all are searched and the graph is exact. In each region (adjacent cells) greedy
 paths are walked over the graph: the unvisited node of the least degree begins, the
 nearest unvisited neighbour follows, until none is left. Then links between ends of paths, of whatever regions, join
-them, the shortest first, as long as both nodes are still ends of different paths. Windows are filled along the
+them, the shortest first, as long as both nodes are still ends of different paths. No task sees all of them: links inside blocks of
+adjacent regions come first, then those inside larger blocks (see chain_paths). Windows are filled along the
 joined paths, one after another, with their documents' words; a document that doesn't fit goes on in the next window.
+A node's copies are placed by counting their words, so no task gets all copies of a text.
 
 Defined results
 - rows (id, window, slot, start, end): words start to end (without it) of the document stand at this slot of the window;
 - null, empty and wordless texts have no words and no rows; a null id is packed with its null; rows that repeat an id are documents of their own;
 - a window holds ``WINDOW`` words; only the last one may hold fewer; window numbers are consecutive from 0;
-- neighbours at equal distance go by the least row, links of equal length by their lesser and then their greater row;
+- neighbours at equal distance go by the least row, links between ends of equal length in a block by their hash; copies of a node stand in the order in which they are read;
+- scripts without spaces count a word a character;
 - an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -29,13 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import importable, keep, small_side
 from .textbuf import slices, word_hashes
 
 WINDOW, K, DIMS, WIDTH, CELL, SCALE = 2048, 8, 128, 128, 1024, 1_000_000
 #: Share of true neighbours to find, cells searched at least, nodes of a region, nodes that are compared with all others.
-RECALL, LEAST, REGION, SAMPLE = 0.93, 32, 24576, 512
+RECALL, LEAST, REGION, SAMPLE = 0.93, 32, 40960, 512
+#: Links between ends of paths that one task may take.
+TAIL = 1 << 17
 #: What 32-bit products may be wrong by; pairs within it are compared again in whole numbers.
 EPS = 1e-5
 
@@ -114,7 +120,7 @@ def _probed(x: np.ndarray, cent: np.ndarray, probes: int) -> np.ndarray:
 
 
 def celled(nodes: DataFrame, cent: np.ndarray) -> DataFrame:
-    """(nid, f, cell)"""
+    """``nodes`` with their cell."""
     shared = nodes.sparkSession.sparkContext.broadcast(cent)
     width = cent.shape[1]
 
@@ -122,9 +128,10 @@ def celled(nodes: DataFrame, cent: np.ndarray) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x = _units(b.column("f").to_pylist(), width).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([b.column("nid"), b.column("f"), pa.array(_close(x, shared.value).argmax(1).astype(np.int32))], names=["nid", "f", "cell"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_close(x, shared.value).argmax(1).astype(np.int32))], names=[*names, "cell"])
 
-    return nodes.select("nid", "f").mapInArrow(run, "nid bigint, f binary, cell int")
+    names = nodes.columns
+    return nodes.mapInArrow(run, T.StructType([*nodes.schema.fields, T.StructField("cell", T.IntegerType())]))
 
 
 def probes_for(nodes: DataFrame, count: int, cent: np.ndarray, k: int, recall: float = RECALL) -> int:
@@ -199,7 +206,7 @@ class Nearest:
 
 
 def neighbours(nodes: DataFrame, cent: np.ndarray, region: np.ndarray, probes: int, k: int) -> DataFrame:
-    """(a, b, d): the k nearest nodes b of each node a among those of the ``probes`` cells it searches, with their squared distance."""
+    """(a, b, d, ra, rb): the k nearest nodes b of each node a among those of the ``probes`` cells it searches, with their squared distance and both regions."""
     width = cent.shape[1]
     shared = nodes.sparkSession.sparkContext.broadcast((cent, region))
 
@@ -217,7 +224,7 @@ def neighbours(nodes: DataFrame, cent: np.ndarray, region: np.ndarray, probes: i
     copies = nodes.select("cell", "nid", "f").join(small_side(wants, 24), "cell").select(*(F.col(c).alias(c) for c in ("region", "cell", "nid", "f")))
 
     def search(key, left, right):
-        cent, _ = shared.value
+        cent, region = shared.value
         near = Nearest(_units(right.column("f").to_pylist(), width), np.asarray(right.column("nid")), k)
         home, cell, ids, raw = np.asarray(right.column("cell")), np.asarray(left.column("cell")), np.asarray(left.column("nid")), left.column("f").combine_chunks()
         at = np.argsort(cell, kind="stable")
@@ -234,10 +241,13 @@ def neighbours(nodes: DataFrame, cent: np.ndarray, region: np.ndarray, probes: i
             for name, asking in zip(cells.tolist(), np.split(w[order], begin[1:])):
                 if name in part:
                     near.look(asking, _units(raw.take(pa.array(part[name])).to_pylist(), width), ids[part[name]])
-        return near.links()
+        links = near.links()
+        by = np.argsort(ids)
+        rb = region[cell[by[np.searchsorted(ids[by], np.asarray(links.column("b")))]]] if len(ids) else np.zeros(0, np.int64)
+        return links.append_column("ra", pa.array(np.full(links.num_rows, key[0].as_py(), np.int64))).append_column("rb", pa.array(rb.astype(np.int64)))
 
     asking = nodes.select(*(F.col(c).alias(c) for c in ("region", "nid", "cell", "f")))
-    return copies.groupBy("region").cogroup(asking.groupBy("region")).applyInArrow(search, "a bigint, b bigint, d double")
+    return copies.groupBy("region").cogroup(asking.groupBy("region")).applyInArrow(search, "a bigint, b bigint, d double, ra bigint, rb bigint")
 
 
 def walk(ids: np.ndarray, degree: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> list[list[int]]:
@@ -269,19 +279,17 @@ def walk(ids: np.ndarray, degree: np.ndarray, a: np.ndarray, b: np.ndarray, d: n
     return paths
 
 
-def join_paths(first: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> list[list[tuple[int, bool]]]:
-    """Chains of (path, reversed): links (a, b) between end nodes are taken shortest first while both are still ends of different chains."""
-    ends = np.concatenate([first, last])
-    by = np.argsort(ends, kind="stable")
-    path_of = lambda x: by[np.searchsorted(ends[by], x)] % max(len(first), 1)
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((hi, lo, d))
-    lo, hi = lo[order], hi[order]
-    p, q = path_of(lo), path_of(hi)
-    root, free = list(range(len(first))), {}
+def join_paths(first: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray, k: np.ndarray | None = None) -> list[list[tuple[int, bool]]]:
+    """Chains of (path, reversed): links (a, b) between ends of the paths (first, last) are taken in the order of (d, k, a, b) while both are still ends of different chains."""
+    path: dict[int, int] = {}
+    free: dict[int, int] = {}
     for i, (x, y) in enumerate(zip(first.tolist(), last.tolist())):
+        path[x] = path[y] = i
         free[x] = free.get(x, 0) + 1
         free[y] = free.get(y, 0) + 1
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((hi, lo, np.zeros(len(d)) if k is None else k, d))
+    root = list(range(len(first)))
     joined: list[list[tuple[int, int, int]]] = [[] for _ in first]
 
     def top(i: int) -> int:
@@ -290,29 +298,128 @@ def join_paths(first: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray
             i = root[i]
         return i
 
-    for x, y, i, j in zip(lo.tolist(), hi.tolist(), p.tolist(), q.tolist()):
-        if free[x] and free[y] and top(i) != top(j):
-            root[top(i)] = top(j)
-            free[x] -= 1
-            free[y] -= 1
-            joined[i].append((x, y, j))
-            joined[j].append((y, x, i))
+    for x, y in zip(lo[order].tolist(), hi[order].tolist()):
+        i, j = path[x], path[y]
+        p, q = top(i), top(j)
+        if not free[x] or not free[y] or p == q:
+            continue
+        root[p] = q
+        free[x] -= 1
+        free[y] -= 1
+        joined[i].append((x, y, j))
+        joined[j].append((y, x, i))
     chains, seen = [], [False] * len(first)
     for start in sorted(range(len(first)), key=lambda i: (len(joined[i]), i)):
         if seen[start]:
             continue
-        chain, i, came = [], start, None
-        while i is not None:
-            seen[i] = True
-            out = next(((x, y, j) for x, y, j in joined[i] if not seen[j]), None)
+        chain, at, came = [], start, None
+        while at is not None:
+            seen[at] = True
+            out = next(((x, y, j) for x, y, j in joined[at] if not seen[j]), None)
             # it leaves at its last node, or comes in at its first one
-            back = came != first[i] if came is not None else out is not None and out[0] != last[i]
-            chain.append((i, bool(back)))
-            i, came = (out[2], out[1]) if out else (None, None)
+            back = came != first[at] if came is not None else out is not None and out[0] != last[at]
+            chain.append((at, bool(back)))
+            at, came = (out[2], out[1]) if out else (None, None)
         chains.append(chain)
     return chains
 
 
+def _mutual(chains: DataFrame, live: DataFrame) -> DataFrame:
+    """Moves of the links that are the first of both their chains."""
+    best = live.select("*", F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.min(F.struct("d", "k", "a", "b", "ca", "cb")).alias("s")).select("s.*")
+    taken = best.groupBy("a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("m")).where("m = 2")
+    # the chain of the lesser number goes first
+    up = F.col("ca") < F.col("cb")
+    taken = taken.select(F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q"), F.when(up, F.col("a")).otherwise(F.col("b")).alias("pe"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("qe"))
+    side = lambda c: chains.select(F.col("chain").alias(c), F.col("x").alias(c + "x"), F.col("y").alias(c + "y"), F.col("n").alias(c + "n"))
+    both = taken.join(side("p"), "p").join(side("q"), "q")
+    both = both.withColumns({"prev": F.col("pe") != F.col("py"), "qrev": F.col("qe") != F.col("qx")})
+    both = both.withColumns({"nx": F.when(F.col("prev"), F.col("py")).otherwise(F.col("px")), "ny": F.when(F.col("qrev"), F.col("qx")).otherwise(F.col("qy")), "total": F.col("pn") + F.col("qn")})
+    two = F.array(F.struct(F.col("p").alias("chain"), F.col("prev").alias("rev"), F.lit(0).cast("long").alias("shift"), F.col("pn").alias("length")), F.struct(F.col("q").alias("chain"), F.col("qrev").alias("rev"), F.col("pn").alias("shift"), F.col("qn").alias("length")))
+    return both.select(F.col("p").alias("new"), "nx", "ny", "total", F.explode(two).alias("s")).select("s.chain", "new", "s.rev", "s.shift", "s.length", "nx", "ny", "total")
+
+
+def _inside(chains: DataFrame, live: DataFrame, blocks: int, regions: int) -> DataFrame:
+    """Moves by the links inside blocks of chains, each block in its own greedy order."""
+    block = lambda c: F.expr(f"{c} * {blocks} div {regions}")
+    sent = live.where(block("ra") == block("rb")).select(block("ra").alias("at"), "a", "b", "d", "k")
+    used = chains.select(block("region").alias("at"), "chain", "x", "y", "n")
+
+    def run(key, left, right):
+        chain, x, y, n = (np.asarray(left.column(c)) for c in ("chain", "x", "y", "n"))
+        by = np.argsort(chain)
+        chain, x, y, n = chain[by], x[by], y[by], n[by]
+        out = []
+        for c in join_paths(x, y, *(np.asarray(right.column(c)) for c in ("a", "b", "d", "k"))) if len(chain) else []:
+            if len(c) < 2:
+                continue
+            at, who = 0, [i for i, _ in c]
+            (i, back), (j, end) = c[0], c[-1]
+            same = (int(chain[who].min()), int(y[i] if back else x[i]), int(x[j] if end else y[j]), int(n[who].sum()))
+            for i, back in c:
+                out.append((int(chain[i]), same[0], back, at, int(n[i]), *same[1:]))
+                at += int(n[i])
+        kinds = [pa.bool_() if i == 2 else pa.int64() for i in range(8)]
+        return pa.table([pa.array([r[i] for r in out], kinds[i]) for i in range(8)], names=["chain", "new", "rev", "shift", "length", "nx", "ny", "total"])
+
+    return used.groupBy("at").cogroup(sent.groupBy("at")).applyInArrow(run, "chain bigint, new bigint, rev boolean, shift bigint, length bigint, nx bigint, ny bigint, total bigint")
+
+
+def chain_paths(paths: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
+    """(head, begin, back, n): where each path (head, tail, n words, region) begins among all words once links (a, b, d, and the regions ra and rb) between ends have joined the paths.
+
+    In each round blocks of adjacent regions, of about ``tail`` links, take the links inside them, the shortest first; the links
+    between blocks are for later rounds, whose blocks are larger. A round after one that did little takes the links that are the first of
+    both their chains, wherever they are. At ``tail`` links or fewer there is one block, and no link between ends of different chains is left.
+    """
+    regions = (paths.agg(F.max("region")).first()[0] or 0) + 1
+    chains = keep(paths.select(F.col("head").alias("chain"), F.col("head").alias("x"), F.col("tail").alias("y"), "n", "region"), "chains")
+    placed = paths.select("head", F.col("head").alias("chain"), F.lit(0).cast("long").alias("off"), F.lit(False).alias("back"), "n")
+    ends = small_side(keep(chains.select("chain", F.explode(F.array_distinct(F.array("x", "y"))).alias("end")), "ends"), 24)
+    e = edges.join(ends.select(F.col("end").alias("a"), F.col("chain").alias("ca")), "a").join(ends.select(F.col("end").alias("b"), F.col("chain").alias("cb")), "b")
+    live = keep(e.where("ca <> cb").select("a", "b", "d", F.xxhash64("a", "b").alias("k"), "ca", "cb", "ra", "rb"), "live")
+    before, slow, history = None, False, []
+    while (left := live.count()) > 0:
+        blocks = max(1, math.ceil(left / max(1, tail)))
+        slow = before is not None and left > 0.7 * before and not slow and blocks > 1
+        before = left
+        moves = keep(_mutual(chains, live) if slow else _inside(chains, live, blocks, regions), "moves")
+        history.append(moves)
+        if blocks == 1:
+            break
+        # a joined chain lies where its first path does
+        to = small_side(keep(moves.join(chains.select(F.col("chain").alias("new"), "region"), "new"), "to"), 56)
+        chains = keep(chains.join(to.select("chain"), "chain", "left_anti").unionByName(to.where("chain = new").select("chain", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("total").alias("n"), "region")), "chains")
+        for c, end, r in (("ca", "a", "ra"), ("cb", "b", "rb")):
+            by = to.select(F.col("chain").alias(c), "new", "nx", "ny", "region")
+            live = live.join(by, c, "left").where(F.col("new").isNull() | (F.col(end) == F.col("nx")) | (F.col(end) == F.col("ny"))).withColumns({c: F.coalesce("new", c), r: F.coalesce("region", r)}).drop("new", "nx", "ny", "region")
+        live = keep(live.where("ca <> cb").select("a", "b", "d", "k", "ca", "cb", "ra", "rb"), "live")
+    # where a chain goes in all rounds from one on: the last round first, so each step is of the size of the chains that still move
+    later = None
+    for moves in reversed(history):
+        now = moves.select("chain", "new", "rev", "shift", "length", "total")
+        if later is not None:
+            n = later.select(F.col("chain").alias("new"), F.col("new").alias("new2"), F.col("rev").alias("rev2"), F.col("shift").alias("shift2"), F.col("total").alias("total2"))
+            turned = F.when(F.col("rev2"), F.col("total") - F.col("shift") - F.col("length")).otherwise(F.col("shift"))
+            both = now.join(n, "new", "left").select("chain", F.coalesce("new2", "new").alias("new"), F.when(F.col("rev2"), ~F.col("rev")).otherwise(F.col("rev")).alias("rev"), F.when(F.col("new2").isNull(), F.col("shift")).otherwise(turned + F.col("shift2")).alias("shift"), "length", F.coalesce("total2", "total").alias("total"))
+            now = keep(both.unionByName(later.join(now.select("chain"), "chain", "left_anti")), "later")
+        later = now
+    if later is not None:
+        m = later.select("chain", "new", "rev", "shift", F.col("total").alias("all"))
+        placed = placed.join(m, "chain", "left").select("head", F.coalesce("new", "chain").alias("chain"), F.coalesce("shift", F.lit(0)).alias("off"), F.coalesce("rev", F.lit(False)).alias("back"), "n", F.coalesce("all", "n").alias("length"))
+    else:
+        placed = placed.withColumn("length", F.col("n"))
+    placed = keep(placed, "placed")
+    # a chain's first path says how long it is
+    lengths = placed.where("off = 0").select("chain", "length")
+    buckets = max(1, placed.count() >> 18)
+    lengths = lengths.withColumn("bucket", F.pmod(F.xxhash64("chain"), F.lit(buckets)))
+    all_before = F.sum("all").over(Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("all")  # a row a bucket
+    bases = keep(lengths.groupBy("bucket").agg(F.sum("length").alias("all")).select("bucket", all_before.alias("base")), "bases")
+    begun = lengths.join(small_side(bases, 16), "bucket").select("chain", (F.col("base") + F.sum("length").over(Window.partitionBy("bucket").orderBy("chain")) - F.col("length")).alias("begin"))
+    return placed.join(begun, "chain").select("head", (F.col("begin") + F.col("off")).alias("begin"), "back", "n")
+
+
 def fill(lengths: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """(document, window, slot, start, end) of documents laid one after another."""
     ends = np.cumsum(lengths)
@@ -327,10 +434,15 @@ def fill(lengths: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     return doc, win, slot, start, end
 
 
-def _graph(docs: DataFrame, id_col: str, text_col: str, k: int, width: int, cell: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
-    """(documents, nodes with cell and region, links, cells, cells that each node searches)."""
-    points = keep(_words(docs, id_col, text_col, width), "features")
-    nodes = keep(points.groupBy("f").agg(F.min("rid").alias("nid")), "nodes")
+def _graph(docs: DataFrame, id_col: str, text_col: str, k: int, width: int, cell: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int, int]:
+    """(documents, their counts by features and part, nodes with cell and region, links, cells, cells that each node searches)."""
+    # two hashes stand for the features wherever rows are moved but once
+    words = _words(docs, id_col, text_col, width)
+    points = keep(words.select("rid", "id", "n", "f", F.xxhash64("f").alias("h"), F.xxhash64("f", F.lit(1)).alias("g"), F.shiftright("rid", 33).alias("part")), "features")
+    # a part is what one task read: however often a text stands, a part's copies are few enough for one task
+    parts = keep(points.groupBy("h", "g", "part").agg(F.min("rid").alias("rid"), F.sum("n").alias("n")), "parts")
+    first = parts.groupBy("h", "g").agg(F.min("rid").alias("nid"), F.sum("n").alias("n"))
+    nodes = keep(first.join(points.select(F.col("rid").alias("nid"), "f"), "nid"), "nodes")
     count = nodes.count()
     cent = centroids(nodes, count, cell, width)
     nodes = keep(celled(nodes, cent), "cells")
@@ -341,12 +453,12 @@ def _graph(docs: DataFrame, id_col: str, text_col: str, k: int, width: int, cell
     names = docs.sparkSession.createDataFrame([(i, int(r)) for i, r in enumerate(region)], "cell int, region bigint")
     probes = probes_for(nodes, count, cent, k)
     nodes = nodes.join(small_side(names, 16), "cell")
-    return points, nodes, keep(neighbours(nodes, cent, region, probes, k), "links"), len(cent), probes
+    return points, parts, nodes, keep(neighbours(nodes, cent, region, probes, k), "links"), len(cent), probes
 
 
 def graph(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = WIDTH, cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(documents, nodes with their coordinates, links, cells)."""
-    points, nodes, links, cells, _ = _graph(docs, id_col, text_col, k, width, cell)
+    points, _, nodes, links, cells, _ = _graph(docs, id_col, text_col, k, width, cell)
 
     def run(batches):
         for b in batches:
@@ -357,63 +469,50 @@ def graph(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     return points, nodes.select("nid", "region", "f").mapInArrow(run, "nid bigint, region bigint, f binary, " + ", ".join(f"z{j} bigint" for j in range(width))), links, cells
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, width: int = WIDTH, cell: int = CELL) -> DataFrame:
-    """(id, window, slot, start, end) of each piece of each document. See the module for defined results."""
-    points, nodes, links, _, _ = _graph(docs, id_col, text_col, k, width, cell)
-    kind = points.schema["id"].dataType.simpleString()
-    region = nodes.select(F.col("nid").alias("a"), F.col("region").alias("region"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("deg"))
-    members = points.join(nodes.select("f", "nid", "region"), "f").join(degree, "nid", "left").select("region", "nid", F.coalesce("deg", F.lit(0)).alias("deg"), "rid", "id", "n")
-    inner = links.join(region, "a")
+def undirected(links: DataFrame) -> DataFrame:
+    """(a, b, d, ra, rb) with a < b: each pair of neighbours once, whether one or both name the other."""
+    up = F.col("a") < F.col("b")
+    return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"), F.min(F.when(up, F.col("ra")).otherwise(F.col("rb"))).alias("ra"), F.min(F.when(up, F.col("rb")).otherwise(F.col("ra"))).alias("rb"))
+
+
+def walked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(region, nid, n, head, tail, begin): each node's path, by its end nodes, and the words before the node in it. Paths are walked inside regions."""
+    degree = edges.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("deg"))
+    members = nodes.select("region", "nid", "n").join(degree, "nid", "left").select(F.col("region").alias("region"), "nid", "n", F.coalesce("deg", F.lit(0)).alias("deg"))
+    inner = edges.where("ra = rb").select(F.col("ra").alias("region"), "a", "b", "d")
 
     def run(key, left, right):
-        # rows in the order of their region's paths; each with its path's end nodes
-        nid, rid = np.asarray(left.column("nid")), np.asarray(left.column("rid"))
-        ids, at = np.unique(nid, return_index=True)
-        paths = walk(ids, np.asarray(left.column("deg"))[at], *(np.asarray(right.column(c)) for c in ("a", "b", "d"))) if len(ids) else []
+        nid, n, deg = (np.asarray(left.column(c)) for c in ("nid", "n", "deg"))
+        by = np.argsort(nid)
+        nid, n, deg = nid[by], n[by], deg[by]
+        paths = walk(nid, deg, *(np.asarray(right.column(c)) for c in ("a", "b", "d"))) if len(nid) else []
         size = [len(p) for p in paths]
-        where = np.searchsorted(ids, np.array([x for p in paths for x in p], dtype=np.int64))
-        rank, head, tail = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
-        rank[where] = np.arange(len(ids))
-        head[where] = np.repeat(np.array([p[0] for p in paths], dtype=np.int64), size)
-        tail[where] = np.repeat(np.array([p[-1] for p in paths], dtype=np.int64), size)
-        x = np.searchsorted(ids, nid)
-        order = pa.array(np.lexsort((rid, rank[x])))
-        return pa.table([*(left.column(c).take(order) for c in ("region", "id", "n", "rid")), *(pa.array(c[x]).take(order) for c in (rank, head, tail))], names=["region", "id", "n", "rid", "rank", "head", "tail"])
-
-    walked = keep(members.groupBy("region").cogroup(inner.groupBy("region")).applyInArrow(run, f"region bigint, id {kind}, n bigint, rid bigint, rank bigint, head bigint, tail bigint"), "walked")
-    paths = keep(walked.groupBy("head").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")), "paths")
-    ends = keep(paths.select(F.explode(F.array_distinct(F.array("head", "tail"))).alias("end")), "ends")
-    side = small_side(ends, 8)
-    # only links between ends of paths reach the one task that joins them
-    loose = links.join(side.select(F.col("end").alias("a")), "a", "left_semi").join(side.select(F.col("end").alias("b")), "b", "left_semi").select("a", "b", "d")
-
-    def chained(key, left, right):
-        first, last, n = (np.asarray(left.column(c)) for c in ("head", "tail", "n"))
-        by = np.argsort(first)
-        first, last, n = first[by], last[by], n[by]
-        flat = [x for c in join_paths(first, last, *(np.asarray(right.column(c)) for c in ("a", "b", "d"))) for x in c]
-        p = np.array([i for i, _ in flat], dtype=np.int64)
-        return pa.table([pa.array(first[p]), pa.array(np.cumsum(n[p]) - n[p]), pa.array([r for _, r in flat], pa.bool_())], names=["head", "begin", "back"])
-
-    places = keep(paths.groupBy(F.lit(0).alias("one")).cogroup(loose.groupBy(F.lit(0).alias("one"))).applyInArrow(chained, "head bigint, begin bigint, back boolean"), "places")
-
-    def pieces(key, t):
-        head, rank, rid, n, begin = (np.asarray(t.column(c)) for c in ("head", "rank", "rid", "n", "begin"))
-        back = np.asarray(t.column("back"))
-        turn = np.where(back, -1, 1)
-        order = np.lexsort((rid * turn, rank * turn, begin))
-        n, begin, head = n[order], begin[order], head[order]
-        before = np.cumsum(n) - n
-        new = np.concatenate([[True], head[1:] != head[:-1]])
-        at = begin + before - before[new][np.cumsum(new) - 1]
-        w0, w1 = at // window, (at + n - 1) // window
-        doc = np.repeat(np.arange(len(n)), w1 - w0 + 1)
-        many = w1 - w0 + 1
-        win = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + w0[doc]
-        start = np.maximum(at[doc], win * window)
-        end = np.minimum(at[doc] + n[doc], (win + 1) * window)
-        return pa.table([t.column("id").take(pa.array(order[doc])), pa.array(win), pa.array(start), pa.array(start - at[doc]), pa.array(end - at[doc])], names=["id", "window", "place", "start", "end"])
-
-    cut = walked.join(small_side(places, 17), "head").groupBy("region").applyInArrow(pieces, f"id {kind}, window bigint, place bigint, start bigint, end bigint")
-    return cut.select(F.col("id").alias(id_col), "window", (F.row_number().over(Window.partitionBy("window").orderBy("place")) - 1).cast("bigint").alias("slot"), "start", "end")
+        flat = np.array([x for p in paths for x in p], dtype=np.int64)
+        words = n[np.searchsorted(nid, flat)]
+        before = np.cumsum(words) - words
+        starts = np.cumsum(size) - size
+        begin = before - np.repeat(before[starts], size) if len(flat) else before
+        head, tail = (np.repeat(np.array([p[i] for p in paths], dtype=np.int64), size) for i in (0, -1))
+        region = np.full(len(flat), key[0].as_py())
+        return pa.table([pa.array(x.astype(np.int64)) for x in (region, flat, words, head, tail, begin)], names=["region", "nid", "n", "head", "tail", "begin"])
+
+    return members.groupBy("region").cogroup(inner.groupBy("region")).applyInArrow(run, "region bigint, nid bigint, n bigint, head bigint, tail bigint, begin bigint")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, width: int = WIDTH, cell: int = CELL) -> DataFrame:
+    """(id, window, slot, start, end) of each piece of each document. See the module for defined results."""
+    points, parts, nodes, links, _, _ = _graph(docs, id_col, text_col, k, width, cell)
+    edges = keep(undirected(links), "edges")
+    path = keep(walked(nodes, edges), "walked")
+    paths = path.groupBy("head").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"), F.min("region").alias("region"))
+    places = chain_paths(keep(paths, "paths"), edges).select("head", F.col("begin").alias("path_at"), "back", F.col("n").alias("length"))
+    at = path.join(places, "head").select("nid", (F.col("path_at") + F.when(F.col("back"), F.col("length") - F.col("begin") - F.col("n")).otherwise(F.col("begin"))).alias("node_at"))
+    at = nodes.select("nid", "h", "g").join(at, "nid").select("h", "g", "node_at")
+    up_to = lambda *by: F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col("n")
+    of_part = parts.join(at, ["h", "g"]).select("h", "g", "part", (F.col("node_at") + up_to("h", "g", "part")).alias("part_at"))
+    each = points.select("rid", "id", "n", "h", "g", "part").join(of_part, ["h", "g", "part"]).select("id", "n", (F.col("part_at") + up_to("h", "g", "part", "rid")).alias("at"))
+    piece = each.select("*", F.explode(F.expr(f"sequence(at div {window}, (at + n - 1) div {window})")).alias("window"))
+    start = F.greatest("at", F.col("window") * window)
+    end = F.least(F.col("at") + F.col("n"), (F.col("window") + 1) * window)
+    slot = (F.row_number().over(Window.partitionBy("window").orderBy("at")) - 1).cast("bigint")
+    return piece.select(F.col("id").alias(id_col), "window", slot.alias("slot"), (start - F.col("at")).alias("start"), (end - F.col("at")).alias("end"))
