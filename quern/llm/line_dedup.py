@@ -2,9 +2,10 @@
 
 Every distinct line hash gets a slot of its own in one shard's minimal perfect hash (levels of bit
 arrays with ranks). Slots index compact arrays: a 16-bit fingerprint, an 8-bit saturated count of
-documents and, for the slots of repeated lines only, the first document. Documents then probe these
-arrays; lines are never joined. Tasks read the shards from the shared folder. Where the arrays are
-larger than ``INDEX_BYTES``, (hash, id) pairs travel to the shards instead and the same probe runs there.
+documents and, for the slots of repeated lines only, the first document. Documents probe these
+arrays: each document's line hashes, once a document, travel to their shards (a shard that many probes ask is copied, so that
+no task takes more than about ``PROBES`` of them), and only the hashes of lines to drop come back, gathered by document. Lines are never
+joined with lines. At any size there is this one way; the arrays are rows of a table that Spark reads, on any file system.
 
 Defined results
 - a line is what stands between line feeds, compared byte by byte; lines without a byte above 0x20 are blank and always stay;
@@ -20,14 +21,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import free_names, importable, keep, stored_bytes
+from .scratch import free_names, importable, keep, small_side
 from .textbuf import buffers, lines, mix, slices, span_hashes
 
-MIN_DOCS, SHARD_KEYS, INDEX_BYTES = 2, 1 << 18, 192 << 20
+MIN_DOCS, SHARD_KEYS, PROBES = 2, 1 << 18, 1 << 20
 _LAST = (1 << 63) - 1
 INDEX = "shard int, n bigint, sizes array<bigint>, bits binary, fingerprints binary, counts binary, repeated binary, owners binary"
 
@@ -142,8 +144,13 @@ def _hashed(text: pa.Array) -> tuple:
     return data, starts, ends, first, shown, span_hashes(data, starts, ends)
 
 
+def _doc(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells documents apart that have the same id or none. Two documents that fall together here would at worst drop a line that is repeated in both."""
+    return F.xxhash64(_owner(docs, id_col), F.col(f"`{text_col}`"))
+
+
 def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(occurrences (h, id) once a document, table (h, n, owner) by distinct line)."""
+    """(occurrences (h, id, doc, part) once a document, table (h, n, owner) by distinct line)."""
     importable(docs.sparkSession)
 
     def run(batches):
@@ -156,10 +163,12 @@ def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 h, doc = h[order], doc[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(np.asarray(part.column("id"))[doc[new]])], names=["h", "id"])
+                at = pa.array(doc[new])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), *(part.column(c).take(at) for c in ("id", "doc", "part"))], names=["h", "id", "doc", "part"])
 
-    occurrences = docs.select(_owner(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").mapInArrow(run, "h bigint, id bigint")
-    return occurrences, occurrences.groupBy("h").agg(F.count_distinct("id").alias("n") if _repeats(docs, id_col) else F.count(F.lit(1)).alias("n"), F.min("id").alias("owner"))
+    rows = docs.select(_owner(docs, id_col).alias("id"), _doc(docs, id_col, text_col).alias("doc"), F.spark_partition_id().alias("part"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    occurrences = rows.mapInArrow(run, "h bigint, id bigint, doc bigint, part int")
+    return occurrences, occurrences.select("h", "id").groupBy("h").agg(F.count_distinct("id").alias("n") if _repeats(docs, id_col) else F.count(F.lit(1)).alias("n"), F.min("id").alias("owner"))
 
 
 def _repeats(docs: DataFrame, id_col: str) -> bool:
@@ -179,63 +188,36 @@ def build_index(counts: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> Dat
     return counts.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(run, INDEX)
 
 
-_loaded: dict[str, dict[int, Shard]] = {}
-
-
-def load(uri: str) -> dict[int, Shard]:
-    """All shards of a kept index, once a worker process."""
-    if uri not in _loaded:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(uri)
-        _loaded.clear()
-        _loaded[uri] = {r["shard"]: Shard(r) for b in ds.dataset(path, filesystem=system, format="parquet").to_batches() for r in b.to_pylist()}
-    return _loaded[uri]
+def dropped(docs: DataFrame, id_col: str, text_col: str, min_docs: int, shard_keys: int, probes: int) -> DataFrame:
+    """(doc, lines): hashes of the lines that stand in an earlier document, for each document that has some."""
+    occurrences, counts = line_counts(docs, id_col, text_col)
+    counts = keep(counts, "line-counts")
+    shards = max(1, math.ceil(counts.count() / shard_keys))
+    shard = F.pmod("h", F.lit(shards)).cast("int").alias("shard")
+    index = keep(build_index(counts, shards, min_docs), "line-index")
+    copies = keep(counts.select(shard, "n").groupBy("shard").agg(F.ceil(F.sum("n") / probes).cast("int").alias("copies")), "line-copies")
+    hot = small_side(keep(copies.where("copies > 1"), "line-hot"), 8)
 
+    def probe(key, left, right):
+        h, ids = np.asarray(left.column("h")), np.asarray(left.column("id"))
+        drop = Shard(right.to_pylist()[0]).foreign(h.view(np.uint64), ids) if right.num_rows else np.zeros(len(h), bool)
+        return pa.table({"doc": left.column("doc").filter(pa.array(drop)), "h": h[drop]})
 
-def _foreign(index: dict[int, Shard], shards: int, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(h), bool)
-    which = np.mod(h.view(np.int64), shards)
-    order = np.argsort(which, kind="stable")
-    edges = np.searchsorted(which[order], np.arange(shards + 1))
-    for s in range(shards):
-        at = order[edges[s] : edges[s + 1]]
-        if len(at) and s in index:
-            out[at] = index[s].foreign(h[at], ids[at])
-    return out
+    asked = occurrences.select("h", "id", "doc", "part", shard).join(hot, "shard", "left")
+    asked = asked.select("h", "id", "doc", F.col("shard").alias("shard"), F.pmod(F.xxhash64("doc", "part"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
+    spread = index.join(small_side(copies, 8), "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(*(F.col(c).alias(c) for c in (*index.columns, "copy")))
+    found = asked.groupBy("shard", "copy").cogroup(spread.groupBy("shard", "copy")).applyInArrow(probe, "doc bigint, h bigint")
+    return found.groupBy("doc").agg(F.collect_set("h").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, index_bytes: int = INDEX_BYTES, drop_emptied: bool = False, count_col: str | None = "removed_lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, probes: int = PROBES, drop_emptied: bool = False, count_col: str | None = "removed_lines") -> DataFrame:
     """``docs`` with repeated lines taken from its texts, and the number taken in ``count_col``.
 
     ``drop_emptied`` leaves out documents that lost lines and keep none but blank ones: all they say stands in earlier documents.
     """
-    spark = docs.sparkSession
-    occurrences, counts = line_counts(docs, id_col, text_col)
-    counts = keep(counts, "line-counts")
-    most = counts.agg(F.count(F.lit(1)), F.max("n")).first()
-    shards = max(1, math.ceil(most[0] / shard_keys))
-    index = keep(build_index(counts, shards, min_docs), "line-index")
-    own, count_name, gone = free_names(docs, "line_owner", count_col or "removed", "line_gone")
-    marked = docs.withColumn(own, _owner(docs, id_col))
-    if stored_bytes(index) <= index_bytes:
-        uri = index.inputFiles()[0].rsplit("/", 1)[0] if most[0] else ""
-        marked = marked.withColumn(gone, F.lit(None).cast("array<bigint>"))
-    else:
-        uri = None
-        salts = max(1, math.ceil(most[1] / (4 << 20)))
-
-        def probe(key, left, right):
-            s = Shard(right.to_pylist()[0])
-            h, ids = np.asarray(left.column("h")), np.asarray(left.column("id"))
-            drop = s.foreign(h.view(np.uint64), ids)
-            return pa.table({"id": ids[drop], "h": h[drop]})
-
-        there = occurrences.select("h", "id", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-        spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        routed = there.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(probe, "id bigint, h bigint")
-        marked = marked.join(routed.groupBy(F.col("id").alias(own)).agg(F.collect_set("h").alias(gone)), own, "left").select(*marked.columns, gone)
+    count_name, doc, gone = free_names(docs, count_col or "removed", "line_doc", "line_gone")
+    lines_gone = dropped(docs, id_col, text_col, min_docs, shard_keys, probes).select(F.col("doc").alias(doc), F.col("lines").alias(gone))
+    marked = docs.withColumn(doc, _doc(docs, id_col, text_col)).join(lines_gone, doc, "left")
     schema = T.StructType([f for f in docs.schema.fields] + [T.StructField(count_name, T.IntegerType())])
     at_text, columns = docs.columns.index(text_col), len(docs.columns)
 
@@ -253,15 +235,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 drop[order[1:]] = (ho[1:] == ho[:-1]) & (do[1:] == do[:-1])
                 drop &= shown
                 ask = np.flatnonzero(shown & ~drop)
-                ids = np.asarray(part.column(columns))
-                if uri:
-                    index_here = load(uri)
-                    drop[ask] = _foreign(index_here, shards, h[ask], ids[doc[ask]])
-                elif uri is None:
-                    lists = part.column(columns + 1)
-                    pair = lambda d, x: mix(x + d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    gone_doc = np.repeat(np.arange(n), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))
-                    drop[ask] = np.isin(pair(doc[ask], h[ask]), pair(gone_doc, np.asarray(lists.flatten()).view(np.uint64)))
+                lists = part.column(columns)
+                pair = lambda d, x: mix(x + d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                gone_doc = np.repeat(np.arange(n), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+                drop[ask] = np.isin(pair(doc[ask], h[ask]), pair(gone_doc, np.asarray(lists.flatten()).view(np.uint64)))
                 taken = np.bincount(doc[drop], minlength=n)
                 emptied = np.zeros(n, bool)
                 if taken.any():
@@ -277,7 +254,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out = out.filter(pa.array(~emptied)) if drop_emptied and emptied.any() else out
                 yield pa.RecordBatch.from_arrays(out.columns, names=schema.names)
 
-    done = marked.select(*[F.col(f"`{c}`") for c in docs.columns], own, gone).mapInArrow(run, schema)
+    done = marked.select(*[F.col(f"`{c}`") for c in docs.columns], gone).mapInArrow(run, schema)
     return done if count_col else done.drop(count_name)
 
 
