@@ -1,9 +1,10 @@
 """Secrets in texts, reported only after their structure is confirmed.
 
-Candidates are long runs of token characters, found on a column's UTF-8 bytes as a whole, and PEM
-blocks. A candidate is decoded (base64, base64url, hex) and parsed: DER keys by nested tags and
-lengths that must fill their parents exactly, OpenSSH keys by their length-prefixed fields, signed
-tokens by their JSON header, payload and the signature length the header's algorithm asks for,
+Texts with a long run of token characters or a PEM block are looked at whole. In every run of base64, base64url or
+hex characters (lines of such characters that follow each other are one run, too) each place where a key's encoding can
+begin is tried: a DER sequence states its length, so what follows is decoded to that length and parsed by nested tags
+and lengths that must fill their parents exactly; an OpenSSH key is parsed by its length-prefixed fields. Signed tokens are
+parsed by their JSON header, payload and the signature length the header's algorithm asks for,
 provider tokens by their checksum or embedded account number. A value that is assigned to a
 credential's name is reported if it decodes to as many bytes as keys have and these look random.
 Decoded text is scanned again, ``DEPTH`` layers deep.
@@ -12,6 +13,7 @@ Defined results
 - rows (id, kind, start, end, digest): byte places in the text (of the outermost layer) and the first 16 hex digits of the secret's SHA-256, never the secret;
 - null and empty texts have no rows; long texts are scanned whole; a null id is reported with its null;
 - rows that repeat an id are scanned one by one; the same secret at two places gives two rows;
+- a place is reported once, as what is tried first: PEM block, signed token, access key, provider token, key encoding, encoded text, assigned value;
 - public keys, certificates, plain hashes and identifiers without a credential's name are not secrets;
 - an empty table gives an empty result; other columns are not looked at.
 """
@@ -40,10 +42,16 @@ for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-
     RUN[_c] = True
 
 _PEM = re.compile(rb"-----BEGIN ((?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY)-----([^-]*)-----END \1-----")
-_JWT = re.compile(rb"([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
+_DOTTED = re.compile(rb"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
+_BRACE = re.compile(rb"e[w-z0-9_-]")
 _AWS = re.compile(rb"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z2-7]{16})(?![A-Za-z0-9])")
 _GITHUB = re.compile(rb"(?<![A-Za-z0-9])gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_NAMED = re.compile(rb"(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)s?[\"']?\s{0,3}(?:=|:|=>|:=)\s{0,3}[\"']?$", re.I)
+_NAMED = re.compile(rb"(?:token|secret|passwd|password|passphrase|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|credential)s?[\"']?\s*(?:=>|:=|=|:)\s*[\"']?", re.I)
+_WRAPPED = re.compile(rb"(?:[A-Za-z0-9+/]{20,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/]+={0,2}")
+_STD, _URL, _DIGITS = re.compile(rb"[A-Za-z0-9+/]{20,}={0,2}"), re.compile(rb"[A-Za-z0-9_-]{20,}={0,2}"), re.compile(rb"[0-9a-fA-F]{20,}")
+#: Where an encoded DER sequence can begin: tag 0x30 and the first byte of its length.
+_DER64, _DERHEX = re.compile(rb"(?=M[A-I])"), re.compile(rb"(?=30[0-8])")
+_SSH64, _SSHHEX = b"b3BlbnNzaC1rZXktdjEA", b"openssh-key-v1\0".hex().encode()
 _HEX, _B64 = re.compile(rb"[0-9a-fA-F]+\Z"), re.compile(rb"[A-Za-z0-9+/_-]+={0,2}\Z")
 KEY_BYTES = {16, 20, 24, 28, 30, 32, 40, 48, 64}
 _SIGNATURE = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
@@ -111,8 +119,8 @@ def private_der(b: bytes) -> str | None:
     return None
 
 
-def openssh(b: bytes) -> str | None:
-    """openssh-key-v1: cipher, kdf, options, number of keys, public keys, private part, each within its stated length."""
+def openssh(b: bytes) -> int | None:
+    """Length of the openssh-key-v1 that ``b`` begins with: cipher, kdf, options, number of keys, public keys, private part, each within its stated length."""
     if not b.startswith(b"openssh-key-v1\0"):
         return None
     at, fields = 15, []
@@ -134,21 +142,39 @@ def openssh(b: bytes) -> str | None:
         if (x := take(at)) is None:
             return None
         last, at = x
-    return "openssh_private_key" if at == len(b) and len(last) >= 16 else None
+    return at if len(last) >= 16 else None
 
 
-def jwt(m: re.Match) -> bool:
-    head, body, sign = (unbase64(x) for x in m.groups())
-    if head is None or body is None or sign is None or head[:1] != b"{" or body[:1] != b"{":
-        return False
+def _object(s: bytes) -> dict | None:
+    b = unbase64(s)
+    if b is None or b[:1] != b"{":
+        return None
     try:
-        h, p = json.loads(head), json.loads(body)
+        out = json.loads(b)
     except (ValueError, RecursionError):
-        return False
-    alg = h.get("alg") if isinstance(h, dict) and isinstance(p, dict) else None
-    if not isinstance(alg, str):
-        return False
-    return len(sign) == _SIGNATURE[alg] if alg in _SIGNATURE else alg[:2] in ("RS", "PS") and len(sign) in (128, 256, 384, 512)
+        return None
+    return out if isinstance(out, dict) else None
+
+
+def signed_tokens(raw: bytes) -> list[tuple[int, int]]:
+    """Spans of header.payload.signature, the signature of the length that the header's algorithm gives."""
+    out = []
+    for m in _DOTTED.finditer(raw):
+        parts, at = m[0].split(b"."), m.start()
+        for head, body, sign in zip(parts, parts[1:], parts[2:]):
+            if (payload := _object(body)) is not None:
+                for h in _BRACE.finditer(head):
+                    alg = (_object(head[h.start() :]) or {}).get("alg")
+                    if not isinstance(alg, str):
+                        continue
+                    sizes = [_SIGNATURE[alg]] if alg in _SIGNATURE else [512, 384, 256, 128] if alg[:2] in ("RS", "PS") else []
+                    fits = [n for b in sizes if (n := -(-b * 4 // 3)) <= len(sign) and unbase64(sign[:n]) is not None]
+                    if fits and payload is not None:
+                        n = len(sign) if len(sign) in fits else fits[0]
+                        out.append((at + h.start(), at + len(head) + 1 + len(body) + 1 + n))
+                        break
+            at += len(head) + 1
+    return out
 
 
 def aws(key: bytes) -> bool:
@@ -182,54 +208,88 @@ def _keyed(value: bytes) -> bool:
     return b is not None and len(b) >= 15 and random_bytes(b) and bool(re.search(rb"[0-9]", value)) and bool(re.search(rb"[A-Z]", value)) and bool(re.search(rb"[a-z]", value))
 
 
-def _binary(b: bytes) -> str | None:
-    return private_der(b) or openssh(b)
-
-
-def confirm(run: bytes, before: bytes, depth: int = 0) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the secrets in one run of token characters; ``before`` is what stands before it."""
-    out: list[tuple[str, int, int]] = []
-    for m in _JWT.finditer(run):
-        if jwt(m):
-            out.append(("signed_token", *m.span()))
-    out += [("access_key_id", *m.span()) for m in _AWS.finditer(run) if aws(m[1])]
-    out += [("provider_token", *m.span()) for m in _GITHUB.finditer(run) if github(m[1], m[2])]
-    if out:
-        return out
-    # the value after a "name=" inside the run, or the run itself after "name = "
-    cut = max(run.rfind(b"=", 0, max(0, len(run.rstrip(b"=")))), -1) + 1
-    value = run[cut:].strip(b".-")
-    if cut == 0:
-        value = run.rstrip(b".-").lstrip(b".-")
-    start = run.find(value)
-    name = before + run[:start]
-    if len(value) < SHORTEST:
-        return out
-    decoded = []
-    if _HEX.match(value) and len(value) % 2 == 0:
-        decoded.append(bytes.fromhex(value.decode()))
-    if (b := unbase64(value)) is not None:
-        decoded.append(b)
-    for b in decoded:
-        if kind := _binary(b):
-            return [(kind, start, start + len(value))]
-        if depth < DEPTH and len(b) >= SHORTEST and all(32 <= c < 127 or c in (9, 10, 13) for c in b):
-            for kind, *_ in scan(b, depth + 1):
-                out.append((kind, start, start + len(value)))
-            if out:
-                return sorted(set(out))
-    if _NAMED.search(name) and _keyed(value):
-        out.append(("keyed_value", start, start + len(value)))
+def _length(head: bytes) -> int | None:
+    """Bytes of the DER sequence whose first bytes these are."""
+    if len(head) < 2 or head[0] != 0x30:
+        return None
+    if head[1] < 0x80:
+        return 2 + head[1]
+    k = head[1] & 0x7F
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 3 and len(head) >= 2 + k else None
+
+
+def keys64(body: bytes) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the private keys encoded in a run of base64 characters."""
+    out, done = [], 0
+    for m in _DER64.finditer(body):
+        p = m.start()
+        head = body[p : p + 8].replace(b"-", b"+").replace(b"_", b"/")
+        n = _length(base64.b64decode(head)) if len(head) == 8 and p >= done and b"=" not in head else None
+        if n is None or n < 24 or p + -(-n * 4 // 3) > len(body):
+            continue
+        end = p + -(-n * 4 // 3)
+        b = unbase64(body[p:end])
+        if b is not None and (kind := private_der(b)):
+            while end < len(body) and body[end : end + 1] == b"=" and (end - p) % 4:
+                end += 1
+            out.append((kind, p, end))
+            done = end
+    p = body.find(_SSH64)
+    while p >= 0:
+        rest = body[p:].split(b"=")[0].replace(b"-", b"+").replace(b"_", b"/")
+        n = openssh(base64.b64decode(rest + b"=" * (-len(rest) % 4) if len(rest) % 4 != 1 else rest[:-1]))
+        if n is not None:
+            out.append(("openssh_private_key", p, p + -(-n * 4 // 3)))
+        p = body.find(_SSH64, p + 1)
+    return out
+
+
+def keys16(body: bytes) -> list[tuple[str, int, int]]:
+    """The same in a run of hex digits."""
+    out, done = [], 0
+    for m in _DERHEX.finditer(body):
+        p = m.start()
+        head = body[p : p + 10]
+        n = _length(bytes.fromhex(head.decode())) if p >= done and len(head) == 10 else None
+        if n is not None and n >= 24 and p + 2 * n <= len(body) and (kind := private_der(bytes.fromhex(body[p : p + 2 * n].decode()))):
+            out.append((kind, p, p + 2 * n))
+            done = p + 2 * n
+    low = body.lower()
+    p = low.find(_SSHHEX)
+    while p >= 0:
+        n = openssh(bytes.fromhex(body[p : len(body) - (len(body) - p) % 2].decode()))
+        if n is not None:
+            out.append(("openssh_private_key", p, p + 2 * n))
+        p = low.find(_SSHHEX, p + 1)
     return out
 
 
+def _bodies(raw: bytes):
+    """(run, places of its bytes or None where they follow each other, start, hex or not) of all runs of base64 and hex characters, wrapped ones joined."""
+    for m in _WRAPPED.finditer(raw):
+        at = np.frombuffer(m[0], np.uint8)
+        at = np.flatnonzero((at != 10) & (at != 13) & (at != 32) & (at != 9))
+        body = np.frombuffer(m[0], np.uint8)[at].tobytes()
+        yield body, at + m.start(), 0, False
+        if _HEX.match(body):
+            yield body, at + m.start(), 0, True
+    for pattern, digits in ((_STD, False), (_URL, False), (_DIGITS, True)):
+        for m in pattern.finditer(raw):
+            yield m[0], None, m.start(), digits
+
+
+def _printable(b: bytes) -> bool:
+    return all(32 <= c < 127 or c in (9, 10, 13) for c in b)
+
+
 def pem_blocks(raw: bytes) -> list[tuple[str, int, int]]:
     out = []
     for m in _PEM.finditer(raw):
         lines = m[2].replace(b"\\n", b"\n").split()
         body = b"".join(x for x in lines if b":" not in x and not x.startswith(b"DEK"))
         b = unbase64(body)
-        if b is not None and (kind := _binary(b)):
+        kind = b is not None and (private_der(b) or ("openssh_private_key" if openssh(b) == len(b) else None))
+        if kind:
             out.append((kind, *m.span()))
     return out
 
@@ -250,12 +310,39 @@ def _runs(data: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray,
 
 def scan(raw: bytes, depth: int = 0) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets in the bytes of one text."""
-    pems = pem_blocks(raw) if b"-----BEGIN " in raw else []
-    found = list(pems)
-    for s, e in zip(*_runs(np.frombuffer(raw, np.uint8))):
-        s, e = int(s), int(e)
-        if not any(a < e and s < b for _, a, b in pems):
-            found += [(k, s + a, s + b) for k, a, b in confirm(raw[s:e], raw[max(0, s - 40) : s], depth)]
+    found: list[tuple[str, int, int]] = []
+
+    def add(kind: str, start: int, end: int) -> None:
+        if not any(a < end and start < b for _, a, b in found):
+            found.append((kind, start, end))
+
+    if b"-----BEGIN " in raw:
+        found += pem_blocks(raw)
+    for span in signed_tokens(raw):
+        add("signed_token", *span)
+    for m in _AWS.finditer(raw):
+        if aws(m[1]):
+            add("access_key_id", *m.span())
+    for m in _GITHUB.finditer(raw):
+        if github(m[1], m[2]):
+            add("provider_token", *m.span())
+    bodies = list(_bodies(raw))
+    place = lambda where, start, a, b: (start + a, start + b) if where is None else (int(where[a]), int(where[b - 1]) + 1)
+    for body, where, start, digits in bodies:
+        for kind, a, b in keys16(body) if digits else keys64(body):
+            add(kind, *place(where, start, a, b))
+    if depth < DEPTH:
+        for body, where, start, digits in bodies:
+            b = bytes.fromhex(body.decode()) if digits and len(body) % 2 == 0 else None if digits else unbase64(body)
+            if b is not None and len(b) >= SHORTEST and _printable(b):
+                for kind in sorted({k for k, *_ in scan(b, depth + 1)}):
+                    add(kind, *place(where, start, 0, len(body)))
+    for m in _NAMED.finditer(raw):
+        for pattern in (_DIGITS, _STD, _URL):
+            v = pattern.match(raw, m.end())
+            if v and _keyed(v[0]):
+                add("keyed_value", *v.span())
+                break
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
