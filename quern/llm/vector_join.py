@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import BROADCAST_BYTES, importable, keep, stored_bytes
 
-THRESHOLD, CELL, TILE, PIVOTS, GAIN, TASKS = 0.9, 4096, 8192, 64, 0.7, 4000
+THRESHOLD, CELL, TILE, PIVOTS, GAIN, TASKS, ROUNDS = 0.9, 4096, 8192, 64, 0.7, 4000, 40
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -115,17 +115,17 @@ def _parted(rows: DataFrame, pivots: DataFrame, eps: float, counts: bool = False
         return pa.Table.from_arrays(cut(left, _vectors(p), key[0].as_py()), names=names)
 
     salts = F.ceil(F.col("n") / F.lit(CELL * 16)).cast("int")
-    counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    there = pivots.join(counts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), salts)))
-    here = rows.join(counts.join(pivots.select("cell").distinct(), "cell"), "cell").withColumn("salt", F.pmod(F.xxhash64("id"), salts + 1).cast("int"))
+    sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    there = pivots.join(sizes, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), salts))).select(*(F.col(c).alias(c) for c in ("cell", "salt", "k", "vec")))
+    here = rows.join(sizes.join(pivots.select("cell").distinct(), "cell"), "cell").withColumn("salt", F.pmod(F.xxhash64("id"), salts + 1).cast("int")).select(*(F.col(c).alias(c) for c in ("cell", "salt", "id", "vec", "home")))
     return here.groupBy("cell", "salt").cogroup(there.groupBy("cell", "salt")).applyInArrow(group, out)
 
 
-def cells(units: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> list[DataFrame]:
+def cells(units: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, rounds: int = ROUNDS) -> list[DataFrame]:
     """Kept tables (id, cell, vec, home): each pair within the threshold stands together in the home cell of either."""
     eps = math.sqrt(max(0.0, 2 - 2 * threshold))
     rows, done = units.withColumn("home", F.lit(True)), []
-    for _ in range(40):
+    for _ in range(rounds):
         sizes = keep(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("own")), "cells")
         large = sizes.where((F.col("n") > cell) & (F.col("own") > 1))
         if large.isEmpty():
@@ -143,6 +143,9 @@ def cells(units: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> l
             break
         there = rows.join(better, rows["cell"] == better["parent"], "left_semi")
         rows = keep(_parted(there, keep(pivots.join(better, pivots["cell"] == better["parent"], "left_semi"), "pivots"), eps).select("id", "cell", "vec", "home"), "parts")
+    else:
+        # cells that are large still are joined as they are, in tiles
+        done.append(rows)
     return done
 
 
