@@ -5,9 +5,17 @@ whole minima name buckets (candidates); of each minimum only ``BITS`` low bits a
 into one binary value. Inside a bucket similarity is estimated by counting equal b-bit groups of
 two packed signatures, corrected for chance: (equal/k - 2^-b) / (1 - 2^-b).
 
+A bucket of about ``HOT`` documents or more (found in a sample of the ids, which decides nothing else) isn't left to one task: ``LEADERS`` of its documents are
+compared with all others, in parts; those that the leaders' largest connected group reaches are one group, and only the rest is
+compared with every document of the bucket, in tiles of ``TILE``. So no link is lost, and a bucket that is one family costs its length.
+
+A pair is found with the chance that it shares a band and that its estimate reaches ``THRESHOLD``: by calculation 0.47, 0.80, 0.96 and 0.99 at
+similarities of 0.50, 0.55, 0.60 and 0.65.
+
 Defined results
 - null or wordless texts (no shingle) are never duplicates; fewer than ``SHINGLE`` words make one shingle;
 - texts of equal shingle sets are duplicates of each other, without any estimate;
+- scripts without spaces have a word a character;
 - rows with a null id take no part; rows that repeat an id count as one document (their texts' union of links);
 - groups are the connected components of the links; the least id of a group stays;
 - an empty table gives an empty result; further columns, whatever their names, are not looked at.
@@ -17,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -25,6 +33,8 @@ from .scratch import free_names, importable, keep, small_side
 from .textbuf import mix, shingle_hashes, slices, word_hashes
 
 PERMUTATIONS, BITS, ROWS, SHINGLE, THRESHOLD, SEED = 128, 2, 4, 3, 0.5, 7
+#: Documents of a bucket that one task may take, the share of ids that is counted to find larger ones, leaders of those, rows of a tile and of a part.
+HOT, SAMPLED, LEADERS, TILE, PART = 1 << 14, 64, 32, 1 << 12, 1 << 16
 
 
 def _functions(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,13 +211,112 @@ def links(sigs: DataFrame, threshold: float = THRESHOLD, k: int = PERMUTATIONS,
         if carry and (r := emit(pa.concat_tables(carry))) is not None:
             yield r
 
-    one = sigs.groupBy("whole").agg(F.min("id").alias("id"), F.min("sig").alias("sig"), F.first("bands").alias("bands"))
+    one = keep(sigs.groupBy("whole").agg(F.min("id").alias("id"), F.min("sig").alias("sig"), F.first("bands").alias("bands")), "distinct")
     exploded = one.select("id", "sig", F.explode("bands").alias("band"))
-    found = exploded.repartition("band").sortWithinPartitions("band").mapInArrow(bucketed, f"a {kind}, b {kind}")
+    sampled = one.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(SAMPLED)) == 0).select(F.explode("bands").alias("band"))
+    hot = keep(sampled.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, HOT * 5 // (8 * SAMPLED))).select("band"), "hot")
+    rest = exploded
+    some = hot.count() > 0
+    if some:
+        large = small_side(hot, 8)
+        rest = exploded.join(large, "band", "left_anti")
+    found = rest.select("id", "sig", "band").repartition("band").sortWithinPartitions("band").mapInArrow(bucketed, f"a {kind}, b {kind}")
+    if some:
+        found = found.unionByName(_hot_links(keep(exploded.join(large, "band", "left_semi").select("band", "id", "sig"), "hot-rows"), kind, threshold, k, bits))
     same = sigs.select("id", "whole").join(one.select("whole", F.col("id").alias("first")), "whole").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     return found.unionByName(same).distinct()
 
 
+def _raw(t: pa.Table, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(t.num_rows, width // 8)
+
+
+def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least place that each of n places is connected with by the pairs (i, j)."""
+    parent = np.arange(n)
+    while len(i):
+        low = np.minimum(parent[i], parent[j])
+        np.minimum.at(parent, parent[i], low)
+        np.minimum.at(parent, parent[j], low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        apart = parent[i] != parent[j]
+        i, j = i[apart], j[apart]
+    return parent
+
+
+def _hot_links(rows: DataFrame, kind: str, threshold: float, k: int, bits: int) -> DataFrame:
+    """Links (a, b) that connect the components of large buckets, of rows (band, id, sig)."""
+    width = k * bits // 8
+    order = Window.partitionBy("band").orderBy(F.xxhash64("id", F.lit(3)), "id")
+    leaders = keep(rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEADERS), "leaders")
+    sizes = keep(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "hot-sizes")
+    size = small_side(sizes, 16)
+    named = lambda d, *c: d.select(*(F.col(x).alias(x) for x in c))
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    here = named(rows.join(size, "band").withColumn("part", F.pmod(F.xxhash64("id", F.lit(4)), parts).cast("int")), "band", "part", "id", "sig")
+    there = named(leaders.join(size, "band").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), "band", "part", "k", "id", "sig")
+
+    def led(key, left, right):
+        # the first leader of each row (0: none), and which leaders a row connects
+        right = right.sort_by("k")
+        a, b = _raw(left, width), _raw(right, width)
+        near = np.stack([similarity(b[x], a, k, bits) >= threshold for x in range(len(b))], axis=1) if len(a) and len(b) else np.zeros((len(a), len(b)), bool)
+        first = np.where(near.any(1), near.argmax(1), -1)
+        i, j = np.nonzero(near)
+        root = _joined(len(b), first[i], j)
+        n = len(a)
+        pairs = np.flatnonzero(root != np.arange(len(b)))
+        band = key[0].as_py()
+        k1 = pa.array(np.concatenate([np.where(first >= 0, first + 1, 0), pairs + 1]).astype(np.int32))
+        k2 = pa.array(np.concatenate([np.zeros(n), root[pairs] + 1]).astype(np.int32))
+        ids = pa.concat_arrays([left.column("id").combine_chunks() if n else pa.array([], right.schema.field("id").type), pa.nulls(len(pairs), right.schema.field("id").type)])
+        sig = pa.concat_arrays([left.column("sig").combine_chunks() if n else pa.array([], pa.binary()), pa.nulls(len(pairs), pa.binary())])
+        return pa.table([pa.array([band] * (n + len(pairs)), pa.int64()), ids, sig, k1, k2], names=["band", "id", "sig", "k1", "k2"])
+
+    got = keep(here.groupBy("band", "part").cogroup(there.groupBy("band", "part")).applyInArrow(led, f"band bigint, id {kind}, sig binary, k1 int, k2 int"), "led")
+    # leaders' groups: at most LEADERS rows and links a part for each bucket
+    load = got.where("k2 = 0 and k1 > 0").groupBy("band", "k1").agg(F.count(F.lit(1)).alias("n")).withColumn("k2", F.col("k1")).unionByName(got.where("k2 > 0").select("band", "k1", "k2").distinct().withColumn("n", F.lit(0).cast("long")))
+
+    def groups(key, t):
+        i, j, n = (np.asarray(t.column(c)) for c in ("k1", "k2", "n"))
+        root = _joined(LEADERS + 1, i.astype(np.int64), j.astype(np.int64))
+        weight = np.bincount(root[i], weights=n, minlength=LEADERS + 1)
+        at = np.unique(i)
+        return pa.table([pa.array([key[0].as_py()] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(root[at] == weight.argmax())], names=["band", "k1", "main"])
+
+    main = keep(named(load, "band", "k1", "k2", "n").groupBy("band").applyInArrow(groups, "band bigint, k1 int, main boolean"), "main")
+    named_leaders = leaders.select(F.col("band"), F.col("k").alias("k1"), F.col("id").alias("b"))
+    mine = got.where("k2 = 0").join(small_side(main, 13), ["band", "k1"], "left")
+    by_leader = mine.where("k1 > 0").select("band", "k1", F.col("id").alias("a")).join(small_side(keep(named_leaders, "leader-ids"), 24), ["band", "k1"]).select("a", "b")
+    of_leaders = got.where("k2 > 0").select("band", "k1", "k2").join(named_leaders.withColumnRenamed("b", "a"), ["band", "k1"]).join(named_leaders.withColumnRenamed("k1", "k2"), ["band", "k2"]).select("a", "b")
+    # what the main group doesn't reach is compared with all of its bucket
+    left_over = keep(mine.where(~F.coalesce("main", F.lit(False))).select("band", "id", "sig"), "left-over")
+    many = small_side(keep(left_over.groupBy("band").agg(F.count(F.lit(1)).alias("m")), "left-sizes"), 16)
+    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    cell = lambda seed, c: F.pmod(F.xxhash64("id", F.lit(seed)), tiles(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), tiles(c) - 1))
+    few = named(left_over.join(many, "band").join(size, "band").withColumn("x", cell(5, "m")).withColumn("y", every("n")), "band", "x", "y", "id", "sig")
+    all_ = named(rows.join(many, "band").join(size, "band").withColumn("y", cell(6, "n")).withColumn("x", every("m")), "band", "x", "y", "id", "sig")
+
+    def tile(key, left, right):
+        a, b = _raw(left, width), _raw(right, width)
+        i, j = [], []
+        for x in range(len(a)):
+            hit = np.flatnonzero(similarity(a[x], b, k, bits) >= threshold)
+            i.append(np.full(len(hit), x))
+            j.append(hit)
+        i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (i, j))
+        n = len(a) + len(b)
+        root = _joined(n, i, j + len(a))
+        moved = np.flatnonzero(root != np.arange(n))
+        ids = pa.concat_arrays([t.column("id").combine_chunks() if t.num_rows else pa.array([], (left if left.num_rows else right).schema.field("id").type) for t in (left, right)])
+        return pa.table([ids.take(pa.array(moved)), ids.take(pa.array(root[moved]))], names=["a", "b"])
+
+    tiled = few.groupBy("band", "x", "y").cogroup(all_.groupBy("band", "x", "y")).applyInArrow(tile, f"a {kind}, b {kind}")
+    return by_leader.unionByName(of_leaders).unionByName(tiled).where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = PERMUTATIONS, bits: int = BITS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """(id, duplicate_of): each document that goes, with the document of its group that stays (the least id). See the module for defined results."""
     sigs = keep(signatures(docs, id_col, text_col, k, bits, rows, shingle), "sigs")
