@@ -7,7 +7,9 @@ scores; all others share one small negative score. A linear scan finds all maxim
 of a text; a word that stood among the ``REPEAT`` words before is no new evidence and scores as others do. How often chance gives a segment of some score is fitted on clean labelled documents that
 the scores were not learned from (two halves, crosswise), for each language that has ``ENOUGH`` such segments: N(score >= x) = K * words * exp(-lambda x).
 Under this extreme-value law a segment has an expectation, and a document's best segments together a
-sum statistic; a document is rejected where that is at most ``ALPHA``.
+sum statistic; a document is rejected where that is at most ``ALPHA``, which was set by held-out error on both classes.
+Scripts without spaces have words of two characters, overlapping. What is learned from are the labelled texts, ``LABELLED`` at most; how often
+words are used, and what is scanned, is the whole table.
 
 Defined results
 - a null or wordless text has no words and is never rejected; a null id takes part and is rejected like any other;
@@ -30,14 +32,19 @@ from pyspark.sql import types as T
 from .scratch import free_names, importable, keep, small_side
 from .textbuf import buffers, slices, span_hashes, words
 
-PRIOR, Z, DRIFT, ALPHA, PASSAGE, REPEAT, ENOUGH = 0.02, 3.0, 0.05, 1e-4, 0.05, 8, 100
+PRIOR, Z, DRIFT, ALPHA, PASSAGE, REPEAT, ENOUGH = 0.02, 3.0, 0.05, 1e-3, 0.05, 8, 100
+#: Labelled texts that are learned from at most: those of the least hashes. The number of significant words, each of which takes about Z^2 such texts to be one, follows this bound and not the corpus.
+LABELLED = 1 << 20
 
 
-def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """(id, code): one document of each distinct labelled text; code is 2 * half + toxic."""
+def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", labelled: int = LABELLED) -> DataFrame:
+    """(id, code): one document of each distinct labelled text, ``labelled`` at most; code is 2 * half + toxic."""
     known = keep(labels.select(F.col(label_id).alias("id"), F.col(label).cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic")), "labels")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).isNotNull().alias("ok")).where("ok and id is not null")
     one = texts.join(small_side(known, 16), "id").groupBy("h").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"))
+    one = keep(one, "toxic-texts")
+    if (n := one.count()) > labelled:
+        one = one.where(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(1 << 30)) < int(labelled / n * (1 << 30)))
     return one.groupBy("id").agg(F.min(F.pmod(F.xxhash64("h"), F.lit(2)).cast("int") * 2 + F.least("toxic", F.lit(1))).alias("code"))
 
 
@@ -51,10 +58,18 @@ def _with_code(docs: DataFrame, train: DataFrame, id_col: str, text_col: str, ho
 
 def _words_of(text: pa.Array) -> tuple:
     data, offsets = buffers(pc.utf8_lower(text))
-    starts, ends, first = words(data, offsets)
+    starts, ends, first = words(data, offsets, pairs=True)
     return data, offsets, starts, ends, first, span_hashes(data, starts, ends)
 
 
+def _original(text: str, lower: bytes, lo: int, hi: int) -> tuple[int, int, str]:
+    """Bytes lo to hi of the lower-cased text as bytes and text of the text itself: lower-casing keeps the number of characters, but not always their bytes."""
+    a, b = len(lower[:lo].decode()), len(lower[:hi].decode())
+    start = len(text[:a].encode())
+    passage = text[a:b]
+    return start, start + len(passage.encode()), passage
+
+
 def word_counts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h, n, n0, n1, n2, n3): how many of all documents use each word, and how many training documents of each code."""
     importable(docs.sparkSession)
@@ -108,8 +123,7 @@ def word_counts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
 def lexicon(counts: DataFrame, prior: float = PRIOR, z: float = Z, drift: float = DRIFT) -> tuple[dict[str, np.ndarray], dict[str, float]]:
     """Scores of the significant words (h sorted, s0 and s1 learned from one half, s from both) and of every other word.
 
-    Only words with a significant score reach the driver; their number follows the vocabulary's
-    discriminating part, not the corpus (24 bytes each).
+    Only words with a significant score reach the driver (24 bytes each); their number is bounded by ``LABELLED``.
     """
     tot = counts.agg(*(F.sum(c).alias(c) for c in ("n", "n0", "n1", "n2", "n3"))).first()
     models = {"s0": (["n1"], ["n0"]), "s1": (["n3"], ["n2"]), "s": (["n1", "n3"], ["n0", "n2"])}
@@ -236,21 +250,21 @@ def fit(score: np.ndarray, n: np.ndarray, total: int) -> tuple[float, float]:
 
 
 def p_value(scores: list[float], n: int, lam: float, k: float) -> float:
-    """Chance of a document of n words to have segments as good: the best sum statistic over r top segments, paid for by 2^r."""
-    best, t = 1.0, 0.0
-    for r, s in enumerate(sorted(scores, reverse=True)[:50], 1):
+    """Chance of a document of n words to have segments as good: the best sum statistic over the r top segments for any r, paid for by 2^r."""
+    best, t = 0.0, 0.0  # logarithm of the chance, sum of normalised scores
+    for r, s in enumerate(sorted(scores, reverse=True), 1):
         x = lam * s - math.log(k * max(n, 1))
         t += x
         if r == 1:
-            p = -math.expm1(-math.exp(-x)) if x > -30 else 1.0
+            p = math.log(-math.expm1(-math.exp(-x))) if x > -30 else 0.0
         elif t > r:
-            p = math.exp(-t + (r - 1) * math.log(t) - math.lgamma(r + 1) - math.lgamma(r))
+            p = -t + (r - 1) * math.log(t) - math.lgamma(r + 1) - math.lgamma(r)
         else:
             break
-        best = min(best, p * 2**r / 2)
-        if x < 0:
+        best = min(best, p + (r - 1) * math.log(2))
+        if x < 0:  # lesser segments only take from the sum
             break
-    return min(1.0, best)
+    return math.exp(best)
 
 
 class Model:
@@ -270,7 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def judged(docs: DataFrame, model: Model, text_col: str = "text", alpha: float = ALPHA, passage: float = PASSAGE) -> tuple[DataFrame, str, str]:
-    """``docs`` with its p value and the significant passages (start and end byte of the lower-cased text, text, score, expectation), and the two columns' names."""
+    """``docs`` with its p value and the significant passages (start and end byte of the text, text, score, expectation), and the two columns' names."""
     importable(docs.sparkSession)
     p_name, seg_name, g_name = free_names(docs, "p_toxic", "passages", "p_group")
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("passage", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())]))
@@ -290,11 +304,12 @@ def judged(docs: DataFrame, model: Model, text_col: str = "text", alpha: float =
                 for d, segs, n in _scan(h, first, lex_h, score, rest):
                     lam, k = law.get(group[d], law[None])
                     p[d] = p_value([s for *_, s in segs], n, lam, k)
-                    for a, b, s in segs:
-                        e = k * n * math.exp(-lam * s)
-                        if e <= passage:
-                            lo, hi = int(starts[first[d] + a]), int(ends[first[d] + b - 1])
-                            found[d].append({"start": lo - int(offsets[d]), "end": hi - int(offsets[d]), "passage": data[lo:hi].tobytes().decode(errors="replace"), "score": s, "expected": e})
+                    good = [(a, b, s, e) for a, b, s in segs if (e := k * n * math.exp(-lam * s)) <= passage]
+                    if good:
+                        text, lower = part.column(at_text)[d].as_py(), data[offsets[d] : offsets[d + 1]].tobytes()
+                        for a, b, s, e in good:
+                            lo, hi, said = _original(text, lower, int(starts[first[d] + a] - offsets[d]), int(ends[first[d] + b - 1] - offsets[d]))
+                            found[d].append({"start": lo, "end": hi, "passage": said, "score": s, "expected": e})
                 yield pa.RecordBatch.from_arrays([*part.columns[:columns], pa.array(p), pa.array(found, arrow)], names=schema.names)
 
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns], _group(docs, model.group_col).alias(g_name)).mapInArrow(run, schema), p_name, seg_name
