@@ -5,13 +5,14 @@ fallback, the share of byte-fallback pieces in the latter, and the entropy of it
 goes by white-space separated words (with a space before each), each distinct word of a batch once.
 Bands are the median and the scaled median absolute deviation, over all documents, of a language
 (or script, where ``lang_col`` is missing or null) and a class of length (powers of 4 of the number of
-tokens, as entropy and spread depend on it). A document beyond ``WIDTH`` deviations in any measure is rejected.
+tokens, as entropy and spread depend on it). A class of fewer than ``FEWEST`` documents is held against the band of its whole
+language instead, but for entropy, which depends on length, and for documents of fewer than ``LONG`` tokens, whose measures are too noisy for a common band. A document beyond ``WIDTH`` deviations in any measure is rejected.
 
 The result names each document and whether it is kept; its measures aside, no text is moved.
 
 Defined results
 - null, empty and blank texts have no tokens: null measures, and they are kept (other rules are for them);
-- deviations have a floor, so a class of equal texts rejects none of them; a class of fewer than ``FEWEST`` documents rejects none;
+- deviations have a floor, so a class of equal texts rejects none of them; a language of fewer than ``FEWEST`` documents rejects none: it is rare, not junk;
 - a null id keeps its row; rows that repeat an id are judged one by one; long texts are measured whole;
 - an empty table gives an empty result; other columns are not looked at.
 
@@ -33,18 +34,32 @@ from pyspark.sql import types as T
 from .scratch import free_names, importable, keep, small_side
 from .textbuf import slices
 
-VOCABULARIES = "/opt/tokenizers"
+#: A folder that every worker has, or a URI of any file system that Spark knows.
+VOCABULARIES, SENT = "/opt/tokenizers", "<sent>"
 BYTE_FILE, PIECE_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WIDTH, FEWEST, STEP = 8.0, 30, 200
+WIDTH, FEWEST, STEP, LONG = 6.0, 30, 200, 64
 MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "entropy")
 FLOORS = (0.05, 0.05, 0.01, 0.1)
 
 _open: dict[str, tuple] = {}
 
 
+def shipped(spark, folder: str) -> str:
+    """The folder as workers see it: files of another file system are sent to them."""
+    if "://" not in folder or folder.startswith("file://"):
+        return folder.removeprefix("file://")
+    for name in (BYTE_FILE, PIECE_FILE):
+        spark.sparkContext.addFile(f"{folder.rstrip('/')}/{name}")
+    return SENT
+
+
 def vocabularies(folder: str) -> tuple:
     """(byte-level encoding, piece processor, whether a piece is a byte), once a process."""
+    if folder == SENT:
+        from pyspark import SparkFiles
+
+        folder = SparkFiles.getRootDirectory()
     if folder not in _open:
         import sentencepiece
         import tiktoken
@@ -115,6 +130,7 @@ def _script(c):
 def measured(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", folder: str = VOCABULARIES) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the measures, the number of tokens and the band's group, and those columns' names."""
     importable(docs.sparkSession)
+    folder = shipped(docs.sparkSession, folder)
     wanted = (*MEASURES, "n_tokens", "band")
     names = dict(zip(wanted, free_names(docs, *wanted)))
     text = F.col(f"`{text_col}`")
@@ -160,8 +176,14 @@ def fertility(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     plain = {x: x for x in (*MEASURES, "n_tokens", "band")}
     table = bands(rows, plain, how.get("fewest", FEWEST))
     wide = keep(table.groupBy("band").pivot("m", list(range(len(MEASURES)))).agg(F.first("mid").alias("mid"), F.first("dev").alias("dev")).withColumnRenamed("band", "b_"), "fertility-bands")
-    out = rows.join(small_side(wide, 128), F.col("band") == F.col("b_"), "left")
+    # classes of few documents: the band of the language
+    language = F.regexp_replace("band", " -?[0-9]+$", "")
+    by_language = bands(rows.withColumn("band", language), plain, how.get("fewest", FEWEST))
+    whole = keep(by_language.groupBy("band").pivot("m", list(range(len(MEASURES)))).agg(F.first("mid").alias("lmid"), F.first("dev").alias("ldev")).withColumnRenamed("band", "l_"), "fertility-languages")
+    out = rows.join(small_side(wide, 128), F.col("band") == F.col("b_"), "left").join(small_side(whole, 128), language == F.col("l_"), "left")
     bad = F.lit(False)
     for i, m in enumerate(MEASURES):
-        bad = bad | F.coalesce(F.abs(F.col(m) - F.col(f"{i}_mid")) > how.get("width", WIDTH) * F.greatest(F.col(f"{i}_dev"), F.lit(FLOORS[i])), F.lit(False))
+        own = m == "entropy"
+        mid, dev = (F.col(f"{i}_{x}") if own else F.coalesce(F.col(f"{i}_{x}"), F.when(F.col("n_tokens") >= how.get("long", LONG), F.col(f"{i}_l{x}"))) for x in ("mid", "dev"))
+        bad = bad | F.coalesce(F.abs(F.col(m) - mid) > how.get("width", WIDTH) * F.greatest(dev, F.lit(FLOORS[i])), F.lit(False))
     return out.select("doc_id", "n_tokens", *MEASURES, "band", (~bad).alias("kept"))
