@@ -1,10 +1,11 @@
 """URL filtering by pattern rules that are indexed by their rarest literal token.
 
-A token is a maximal run of ASCII letters and digits of the lower-cased URL. From each rule's parsed
-regular expression come the tokens that any matching URL surely contains (literal runs with a
-non-token character or an anchor on both sides; an alternation of such runs gives a set). A rule is
-filed under the set that is rarest over all URLs. A URL's tokens fetch candidate rules and only those
-run their expression; rules without a sure token run on every URL.
+A token is a maximal run of ASCII letters and digits of the lower-cased URL. A rule's regular expression is
+parsed and opened into its alternatives (branches, optional and repeated parts; ``MOST`` at most). From each come the
+tokens that any URL that matches it surely contains: literal runs with a non-token character or an anchor on both sides. A rule is
+filed under each alternative's token that is rarest over all URLs. A URL's tokens fetch candidate rules and only those
+run their expression. An alternative without a sure token is filed under its longest run of literal characters, which an
+automaton over all such runs finds inside tokens and across them; only a rule that has an alternative without any literal runs on every URL.
 
 Defined results
 - a null URL matches no rule and isn't blocked; an empty URL is matched like any other; long URLs are matched whole;
@@ -16,10 +17,12 @@ Defined results
 
 from __future__ import annotations
 
+import itertools
 import re
 from re import _constants as rc
 from re import _parser as rp
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,80 +80,103 @@ def compiled(pattern: str) -> re.Pattern:
     return re.compile(end_anchored(pattern), re.I | re.A)
 
 
-def _flat(parsed) -> list:
-    """Items with non-repeating, flagless groups opened."""
-    out = []
+#: Alternatives of a rule, and what stands in them beside literal characters: an edge of the URL, one character of no token, anything.
+MOST = 256
+_EVERYWHERE = {"/", ":", "//", "://", "http://", "https://"}
+EDGE, DIVIDER, ANY = "<edge>", "<divider>", "<any>"
+
+
+def _opened(parsed) -> list[list[str]] | None:
+    """Alternatives of a parsed expression as sequences of characters, EDGE, DIVIDER and ANY; None if they are too many."""
+    out: list[list[str]] = [[]]
     for op, arg in parsed:
-        if op is rc.SUBPATTERN and not arg[1] and not arg[2]:
-            out += _flat(arg[3])
+        part: list[list[str]] | None
+        if op is rc.LITERAL:
+            part = [[chr(arg).lower()]]
+        elif op is rc.AT and arg in (rc.AT_BEGINNING, rc.AT_BEGINNING_STRING, rc.AT_END_STRING):
+            part = [[EDGE]]
+        elif op is rc.IN and all(k is rc.LITERAL for k, _ in arg):
+            chars = [chr(v) for _, v in arg]
+            part = [[DIVIDER]] if not any(c in _WORD for c in chars) else [[c] for c in sorted({c.lower() for c in chars})] if len(chars) <= 4 else [[ANY]]
+        elif op is rc.SUBPATTERN and not arg[1] and not arg[2]:
+            part = _opened(arg[3])
+        elif op is rc.BRANCH:
+            opened = [_opened(x) for x in arg[1]]
+            part = None if any(x is None for x in opened) else [y for x in opened for y in x]
+        elif op in (rc.MAX_REPEAT, rc.MIN_REPEAT):
+            least, most, item = arg
+            one = _opened(item)
+            if one is None:
+                part = [[ANY]] if least else [[], [ANY]]
+            elif most == 1:
+                part = one if least else [[], *one]
+            else:  # the first and the last time stand at the edges, anything between
+                many = [[*x, ANY, *y] for x in one for y in one]
+                part = (one + many) if least == 1 else many if least else [[], *one, *many]
         else:
-            out.append((op, arg))
+            part = [[ANY]]
+        part = [[ANY]] if part is None else part
+        if len(out) * len(part) > MOST:
+            return None
+        out = [x + y for x, y in itertools.product(out, part)]
     return out
 
 
-def _divides(item) -> bool:
-    """Whether the item matches, at its edge, only an end of the URL or a character of no token."""
-    op, arg = item
-    if op is rc.AT:
-        return arg in (rc.AT_BEGINNING, rc.AT_BEGINNING_STRING, rc.AT_END_STRING)
-    if op is rc.LITERAL:
-        return chr(arg) not in _WORD
-    if op is rc.IN:
-        return all(k is rc.LITERAL and chr(v) not in _WORD for k, v in arg)
-    if op is rc.BRANCH:
-        return all(len(b := _flat(x)) == 1 and _divides(b[0]) for x in arg[1])
-    return False
-
-
-def _literal(items: list) -> str | None:
-    if items and all(op is rc.LITERAL and chr(a) in _WORD for op, a in items):
-        return "".join(chr(a) for _, a in items).lower()
-    return None
-
-
-def sure_tokens(pattern: str) -> list[frozenset[str]]:
-    """Sets of tokens; any URL that matches has a token of each set."""
-    items = _flat(rp.parse(end_anchored(pattern), re.I | re.A))
-    found, i = [], 0
-    while i < len(items):
-        j = i
-        while j < len(items) and items[j][0] is rc.LITERAL and chr(items[j][1]) in _WORD:
-            j += 1
-        before, unit = i and _divides(items[i - 1]), None
-        if j > i:
-            unit = frozenset([_literal(items[i:j])])
-        elif items[i][0] is rc.BRANCH:
-            j = i + 1
-            words = [_literal(_flat(x)) for x in items[i][1][1]]
-            unit = frozenset(words) if all(words) else None
-        else:
-            j = i + 1
-        if unit and before and j < len(items) and _divides(items[j]):
-            found.append(unit)
-        i = j
-    return found
+def _word(c: str) -> bool:
+    return len(c) == 1 and c in _WORD
+
+
+def sure(pattern: str) -> list[tuple[list[str], str]] | None:
+    """(sure tokens, longest literal run) of each alternative: a URL that matches has, for one of them, all its tokens and the run."""
+    opened = _opened(rp.parse(end_anchored(pattern), re.I | re.A))
+    if opened is None:
+        return None
+    out = []
+    for seq in opened:
+        tokens, i = [], 0
+        while i < len(seq):
+            j = i
+            while j < len(seq) and _word(seq[j]):
+                j += 1
+            if j > i and i and seq[i - 1] != ANY and j < len(seq) and seq[j] != ANY:
+                tokens.append("".join(seq[i:j]))
+            i = max(j, i + 1)
+        runs = ["".join(g) for lit, g in itertools.groupby(seq, lambda c: len(c) == 1 and c.isascii()) if lit]
+        out.append((tokens, max(runs, key=lambda r: (r not in _EVERYWHERE, len(r)), default="")))
+    return out
 
 
 class Index:
-    """Rules by token, and those that run always."""
+    """Rules by token, by literal run, and those that run always."""
 
     def __init__(self, rules: list[tuple[int, str, str]], count: dict[str, int]):
         self.rules = [(i, a, compiled(p)) for i, a, p in rules]
         self.by_token: dict[str, list[int]] = {}
+        self.by_run: dict[str, list[int]] = {}
         self.always: list[int] = []
         for k, (_, _, p) in enumerate(rules):
-            sets = sure_tokens(p)
-            if not sets:
+            alternatives = sure(p)
+            if alternatives is None or any(not t and not r for t, r in alternatives):
                 self.always.append(k)
                 continue
-            for t in min(sets, key=lambda s: (sum(count.get(t, 0) for t in s), sorted(s))):
-                self.by_token.setdefault(t, []).append(k)
+            for tokens, run in alternatives:
+                where, key = (self.by_token, min(tokens, key=lambda t: (count.get(t, 0), t))) if tokens else (self.by_run, run)
+                if k not in where.setdefault(key, []):
+                    where[key].append(k)
+        self.runs = ahocorasick.Automaton()
+        for r, ks in self.by_run.items():
+            self.runs.add_word(r, ks)
+        if self.by_run:
+            self.runs.make_automaton()
 
     def candidates(self, url: str) -> set[int]:
-        found = set(self.always)
-        for t in _TOKEN.findall(url.lower()):
+        found, low = set(self.always), url.lower()
+        for t in _TOKEN.findall(low):
             if t in self.by_token:
                 found.update(self.by_token[t])
+        if self.by_run:
+            for _, ks in self.runs.iter(low):
+                found.update(ks)
         return found
 
     def match(self, url: str) -> tuple[list[int], bool]:
@@ -182,7 +208,7 @@ def filter_urls(urls: DataFrame, url_col: str = "url", rules: list[tuple[int, st
     if len({i for i, _, _ in rules}) < len(rules) or any(a not in ("block", "allow") for _, a, _ in rules):
         raise ValueError("rules need ids of their own and the action block or allow")
     importable(urls.sparkSession)
-    index = Index(rules, token_counts(urls, url_col, {t for *_, p in rules for s in sure_tokens(p) for t in s}))
+    index = Index(rules, token_counts(urls, url_col, {t for *_, p in rules for tokens, _ in sure(p) or [] for t in tokens}))
     blocked_col, rules_col = free_names(urls, blocked_col, rules_col)
     schema = T.StructType([*urls.schema.fields, T.StructField(rules_col, T.StringType()), T.StructField(blocked_col, T.BooleanType())])
     at = urls.columns.index(url_col)
