@@ -19,7 +19,7 @@ Defined results
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,37 +31,37 @@ CAPACITY, ROW_BYTES, BUCKET_ROWS = 8 << 20, 16, 1 << 20
 
 
 class Tree:
-    """Ordered keys in blocks (a B-tree of two levels): insertion, removal and successor in the order of log n and the square root of n at most."""
+    """Ordered keys in a balanced tree of 64-way nodes, each a word of bits that says which children hold a key: insertion, removal and successor take a step a level."""
 
-    LOAD = 512
-
-    def __init__(self):
-        self.blocks: list[list[int]] = []
-        self.tops: list[int] = []
+    def __init__(self, most: int = 1 << 24):
+        self.levels: list[dict[int, int]] = [{}]
+        while most >> 6 * len(self.levels):
+            self.levels.append({})
 
     def add(self, k: int) -> None:
-        if not self.blocks:
-            self.blocks, self.tops = [[k]], [k]
-            return
-        i = min(bisect_left(self.tops, k), len(self.blocks) - 1)
-        insort(self.blocks[i], k)
-        self.tops[i] = self.blocks[i][-1]
-        if len(self.blocks[i]) > 2 * self.LOAD:
-            b = self.blocks[i]
-            self.blocks[i : i + 1] = [b[: self.LOAD], b[self.LOAD :]]
-            self.tops[i : i + 1] = [b[self.LOAD - 1], b[-1]]
+        for level in self.levels:
+            k, bit = k >> 6, 1 << (k & 63)
+            level[k] = level.get(k, 0) | bit
 
     def remove(self, k: int) -> None:
-        i = bisect_left(self.tops, k)
-        self.blocks[i].remove(k)
-        if self.blocks[i]:
-            self.tops[i] = self.blocks[i][-1]
-        else:
-            del self.blocks[i], self.tops[i]
+        for level in self.levels:
+            k, bit = k >> 6, 1 << (k & 63)
+            level[k] &= ~bit
+            if level[k]:
+                return
+            del level[k]
 
     def at_least(self, k: int) -> int | None:
-        i = bisect_left(self.tops, k)
-        return None if i == len(self.tops) else self.blocks[i][bisect_left(self.blocks[i], k)]
+        for depth, level in enumerate(self.levels):
+            here = level.get(k >> 6, 0) >> (k & 63) << (k & 63)
+            if here:
+                k = k >> 6 << 6 | (here & -here).bit_length() - 1
+                for below in reversed(self.levels[:depth]):
+                    word = below[k]
+                    k = k << 6 | (word & -word).bit_length() - 1
+                return k
+            k = (k >> 6) + 1
+        return None
 
 
 def pack(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -69,7 +69,7 @@ def pack(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[in
 
     A run (size, rank, bin, per bin) says: from this rank on, groups of this size go to this bin and the following ones, so many to each.
     """
-    tree, bins, runs, opened = Tree(), {}, [], 0  # bins: remaining capacity -> ranges [first, number], lowest last
+    tree, bins, runs, opened = Tree(capacity), {}, [], 0  # bins: remaining capacity -> ranges [first, number], lowest last
 
     def put(left: int, first: int, n: int) -> None:
         if n:
@@ -111,7 +111,10 @@ def assign_shards(docs: DataFrame, text_col: str = "text", group_col: str | None
     shard_col, key, size, rank, b = free_names(docs, shard_col, "g_key", "g_size", "g_rank", "g_bucket")
     lone = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
     group: Column = lone if group_col is None else F.coalesce(F.concat(F.lit("g "), F.col(f"`{group_col}`").cast("string")), lone)
-    return _assign(docs, group, F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long") + ROW_BYTES, capacity, shard_col, (key, size, rank, b), bucket_rows, spark)
+    (own,) = free_names(docs, "g_own")
+    # rows without a group are numbered once: a table read again could number them otherwise
+    keyed = keep(docs.withColumn(own, group), "shard-keys")
+    return _assign(keyed, F.col(own), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long") + ROW_BYTES, capacity, shard_col, (key, size, rank, b), bucket_rows, spark).drop(own)
 
 
 def _assign(docs, group, bytes_, capacity, shard_col, names, bucket_rows, spark):
