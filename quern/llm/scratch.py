@@ -24,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="quern-shared-")
         atexit.register(shutil.rmtree, _own, True)
@@ -33,13 +36,43 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    The table survives the loss of any executor, is computed once, and gives the planner true sizes.
+    The table survives the loss of any executor, is computed once, and gives the planner true sizes. It goes when the
+    driver ends, or by release().
     """
     path = new_path(df.sparkSession, name)
+    _kept.append(path)
+    at, fs = _on(df.sparkSession, path)
+    fs.deleteOnExit(at)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: list[str] = []
+
+
+def _on(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def mark() -> int:
+    """How many tables have been kept so far, for release()."""
+    return len(_kept)
+
+
+def release(spark: SparkSession, since: int, but: DataFrame | None = None) -> None:
+    """Delete the tables kept since mark(), but the one that ``but`` reads."""
+    stays = set(but.inputFiles()) if but is not None else set()
+    gone, left = _kept[since:], []
+    for path in gone:
+        if any(path.rsplit("/", 1)[-1] in f for f in stays):
+            left.append(path)
+            continue
+        at, fs = _on(spark, path)
+        fs.delete(at, True)
+    _kept[since:] = left
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
 

@@ -74,8 +74,21 @@ def test_urls(spark):
     assert url_rules.filter_urls(urls.limit(0)).count() == 0 and not any(r["blocked"] for r in url_rules.filter_urls(urls, rules=[]).collect())
     with pytest.raises(ValueError):
         url_rules.filter_urls(urls, rules=[(1, "block", "a"), (1, "allow", "b")])
-    assert url_rules.sure_tokens(r"/(login|cart)(/|\?|$)") == [frozenset({"login", "cart"})]
-    assert url_rules.sure_tokens(r"utm_[a-z]+=") == [] and url_rules.sure_tokens(r"^abc/x*") == [frozenset({"abc"})]
+    assert [t for t, _ in url_rules.sure(r"/(login|cart)(/|\?|$)")] == [["login"]] * 3 + [["cart"]] * 3
+    assert {(*t, r) for t, r in url_rules.sure(r"[?&](utm_[a-z]+|gclid)=")} == {("utm", "utm_"), ("gclid", "gclid=")} and url_rules.sure(r"abc") == [([], "abc")]
+    assert [t for t, _ in url_rules.sure(r"^https?://ads?\.")] == [["http", "ad"], ["http", "ads"], ["https", "ad"], ["https", "ads"]]
+    index = url_rules.Index(url_rules.RULES, {"http": 10**6, "https": 10**6})
+    assert index.always == [] and {url_rules.RULES[k][0] for ks in index.by_run.values() for k in ks} == {13, 16}
+
+
+def test_url_index_loses_no_match():
+    rng = random.Random(4)
+    parts = ["http://", "https://", "m.", "ads.", "ad.", "www.a.example.org", "example.net", "/login", "/cart?", "?ref=x", "&utm_a=", "gclid=", ".jpg", "/tag/", "page=7", "&page=12", "session=af", "sessionid=0", "#comments", "#comment", "casino", "//x--y", "1.2.3.4:", "/feed.xml", "/rss", "/wp-login", "/de/5#top", "/fr/1?page=2&ref=x", "x", "/", "É", "K"]
+    index = url_rules.Index(url_rules.RULES, {})
+    for _ in range(4000):
+        u = "".join(rng.choice(parts) for _ in range(rng.randint(1, 6)))
+        u = u.upper() if rng.random() < 0.2 else u
+        assert index.match(u)[0] == sorted(i for i, _, p in url_rules.RULES if url_rules.compiled(p).search(u)), u
 
 
 def test_best_fit():
@@ -298,7 +311,7 @@ def test_toxicity_held_out(spark):
     assert sum(i not in kept for i in range(600, 1200, 6)) >= 95 and sum(i in kept for i in range(600, 1200) if i % 6) >= 495
 
 
-def test_lines_both_ways(spark):
+def test_lines(spark):
     rng = random.Random(7)
     pool = [prose(rng, 6) for _ in range(30)]
     d = spark.createDataFrame([(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else prose(rng, 5) for _ in range(6))) for i in range(60)], "doc_id long, text string")
@@ -309,8 +322,14 @@ def test_lines_both_ways(spark):
             if owner.setdefault(x, r["doc_id"]) == r["doc_id"] and x not in kept:
                 kept.append(x)
         want[r["doc_id"]] = "\n".join(kept)
-    for limit in (line_dedup.INDEX_BYTES, 0):
-        assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(d, shard_keys=50, index_bytes=limit).collect()} == want
+    for probes in (line_dedup.PROBES, 7):
+        assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(d, shard_keys=50, probes=probes).collect()} == want
+    # ids of text, in the order of their hashes; rows without an id come last and count as one document
+    s = d.withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string"))).union(spark.createDataFrame([(None, "\n".join(pool[:3]) + "\nown line"), (None, "own line\nanother")], "doc_id string, text string"))
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(s, shard_keys=50).collect()}
+    left = [x for _, t in got for x in t.split("\n")]
+    assert sorted(set(left)) == sorted({x for r in s.collect() for x in r["text"].split("\n")}) and (None, "own line\nanother") in got
+    assert all(left.count(x) == 1 for x in pool) and (None, "own line") in got
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables")
