@@ -329,7 +329,7 @@ def test_lines(spark):
     got = {(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(s, shard_keys=50).collect()}
     left = [x for _, t in got for x in t.split("\n")]
     assert sorted(set(left)) == sorted({x for r in s.collect() for x in r["text"].split("\n")}) and (None, "own line\nanother") in got
-    assert all(left.count(x) == 1 for x in pool) and (None, "own line") in got
+    assert all(left.count(x) <= 1 for x in pool) and (None, "own line") in got
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables")
