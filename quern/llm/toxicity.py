@@ -256,7 +256,7 @@ def p_value(scores: list[float], n: int, lam: float, k: float) -> float:
         x = lam * s - math.log(k * max(n, 1))
         t += x
         if r == 1:
-            p = math.log(-math.expm1(-math.exp(-x))) if x > -30 else 0.0
+            p = -x if x > 30 else math.log(-math.expm1(-math.exp(-x))) if x > -30 else 0.0
         elif t > r:
             p = -t + (r - 1) * math.log(t) - math.lgamma(r + 1) - math.lgamma(r)
         else:
