@@ -22,6 +22,7 @@ Histograms of the measures (1/200 of a unit) are counted, not the documents, so
 from __future__ import annotations
 
 import base64
+import itertools
 import os
 
 import numpy as np
@@ -100,16 +101,16 @@ def measure(text: pa.Array, folder: str = VOCABULARIES) -> dict[str, np.ndarray]
     at = np.asarray(coded.indices)
     distinct = coded.dictionary.to_pylist()
     chars = np.asarray(pc.utf8_length(coded.dictionary)).astype(np.int64) + 1
-    first = [enc.encode_ordinary(" " + w) for w in distinct]
+    first = list(map(enc.encode_ordinary, map(" ".__add__, distinct)))
     second = sp.encode(distinct, num_threads=1) if distinct else []
     n1, n2 = (np.fromiter(map(len, x), np.int64, len(x)) for x in (first, second))
-    pieces = np.fromiter((i for x in second for i in x), np.int64, int(n2.sum()))
+    pieces = np.fromiter(itertools.chain.from_iterable(second), np.int64, int(n2.sum()))
     b2 = np.add.reduceat(np.append(is_byte[pieces].astype(np.int64), 0), np.concatenate([[0], np.cumsum(n2)])[:-1]) if len(n2) else n2
     b2 = np.where(n2 > 0, b2, 0)
     total = lambda x: np.bincount(doc, weights=x[at], minlength=n) if len(at) else np.zeros(n)
     tokens, pieces_n, length = total(n1), total(n2), total(chars)
     # token ids of all words, word after word
-    ids = np.fromiter((i for x in first for i in x), np.int64, int(n1.sum()))
+    ids = np.fromiter(itertools.chain.from_iterable(first), np.int64, int(n1.sum()))
     start = np.concatenate([[0], np.cumsum(n1)])[:-1] if len(n1) else n1
     count = n1[at]
     place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
