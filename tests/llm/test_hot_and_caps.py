@@ -174,6 +174,8 @@ def test_tail_and_sum_statistic():
     one, many = toxicity.p_value([3.0], 100, 1.0, 0.01), toxicity.p_value([3.0] * 3000, 100, 1.0, 0.01)
     few = toxicity.p_value([3.0] * 50, 100, 1.0, 0.01)
     assert many < few < one < 0.06 and many < 1e-300 and toxicity.p_value([], 10, 1.0, 1.0) == 1.0
+    # nor is a score too large or too small
+    assert toxicity.p_value([5000.0, 1.0], 100, 1.0, 0.01) == 0.0 and toxicity.p_value([0.1], 10**6, 1.0, 1.0) == 1.0
 
 
 def test_passages_are_places_of_the_text(spark):
