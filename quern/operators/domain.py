@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -24,15 +25,62 @@ UNITS: dict[str, tuple[str, float, float]] = {
 }
 
 
+#: Dimensions in powers of length, mass, time, temperature, current.
+_POWERS: dict[str, tuple[int, ...]] = {
+    "length": (1, 0, 0, 0, 0), "mass": (0, 1, 0, 0, 0), "time": (0, 0, 1, 0, 0), "temperature": (0, 0, 0, 1, 0), "current": (0, 0, 0, 0, 1), "angle": (0, 0, 0, 0, 0), "energy": (2, 1, -2, 0, 0), "power": (2, 1, -3, 0, 0),
+    "pressure": (-1, 1, -2, 0, 0), "volume": (3, 0, 0, 0, 0), "speed": (1, 0, -1, 0, 0), "force": (1, 1, -2, 0, 0), "area": (2, 0, 0, 0, 0), "frequency": (0, 0, -1, 0, 0), "charge": (0, 0, 1, 0, 1), "voltage": (2, 1, -3, 0, -1),
+}
+UNITS |= {"A": ("current", 1.0, 0.0), "Hz": ("frequency", 1.0, 0.0), "C": ("charge", 1.0, 0.0), "V": ("voltage", 1.0, 0.0), "hour": ("time", 3600.0, 0.0), "week": ("time", 604800.0, 0.0), "year": ("time", 31557600.0, 0.0), "liter": ("volume", 0.001, 0.0)}
+_PREFIXES = {"Y": 1e24, "Z": 1e21, "E": 1e18, "P": 1e15, "T": 1e12, "G": 1e9, "M": 1e6, "k": 1e3, "h": 1e2, "da": 1e1, "d": 1e-1, "c": 1e-2, "m": 1e-3, "u": 1e-6, "n": 1e-9, "p": 1e-12, "f": 1e-15}
+_PREFIXED = {"m", "g", "s", "J", "W", "Wh", "Pa", "L", "N", "eV", "bar", "cal", "K", "A", "V", "C", "Hz"}
+
+
+def _unit(text: str) -> tuple[tuple[int, ...], float, float]:
+    """(powers, factor, offset) of a unit or of a product of powers of units, with metric prefixes: ``km``, ``kg*m/s**2``."""
+
+    def named(n: str) -> tuple[tuple[int, ...], float, float]:
+        if n in UNITS:
+            d, f, o = UNITS[n]
+            return _POWERS[d], f, o
+        for prefix, factor in _PREFIXES.items():
+            if n.startswith(prefix) and n[len(prefix) :] in _PREFIXED:
+                d, f, _ = UNITS[n[len(prefix) :]]
+                return _POWERS[d], f * factor, 0.0
+        raise ValueError(f"{n!r} is no known unit")
+
+    def build(e: ast.expr) -> tuple[tuple[int, ...], float]:
+        if isinstance(e, ast.Name):
+            powers, factor, _ = named(e.id)
+            return powers, factor
+        if isinstance(e, ast.Constant) and isinstance(e.value, (int, float)):
+            return (0,) * 5, float(e.value)
+        if isinstance(e, ast.BinOp) and isinstance(e.op, (ast.Mult, ast.Div)):
+            (p, f), (r, g) = build(e.left), build(e.right)
+            sign = 1 if isinstance(e.op, ast.Mult) else -1
+            return tuple(x + sign * y for x, y in zip(p, r)), f * g**sign
+        if isinstance(e, ast.BinOp) and isinstance(e.op, ast.Pow):
+            n = ast.literal_eval(e.right)
+            p, f = build(e.left)
+            if isinstance(n, int):
+                return tuple(x * n for x in p), f**n
+        raise ValueError(f"{text!r} is no unit")
+
+    if text in UNITS or text.isidentifier():
+        return named(text)
+    try:
+        tree = ast.parse(text.replace("^", "**"), mode="eval").body
+    except SyntaxError as e:
+        raise ValueError(f"{text!r} is no unit") from e
+    return (*build(tree), 0.0)
+
+
 def convert_units(df: DataFrame, column_name: str, existing_units: str, to_units: str, dest_column_name: str) -> DataFrame:
+    """Values in other units of the same dimension (see _unit())."""
     check_column(df, column_name)
     check_column(df, dest_column_name, present=False)
-    for u in (existing_units, to_units):
-        if u not in UNITS:
-            raise ValueError(f"{u!r} is no known unit")
-    (d1, f1, o1), (d2, f2, o2) = UNITS[existing_units], UNITS[to_units]
+    (d1, f1, o1), (d2, f2, o2) = _unit(existing_units), _unit(to_units)
     if d1 != d2:
-        raise ValueError(f"{existing_units!r} is a {d1}, {to_units!r} a {d2}")
+        raise ValueError(f"{existing_units!r} and {to_units!r} have different dimensions")
     return df.withColumn(dest_column_name, (col(column_name) * f1 + (o1 - o2)) / f2)
 
 

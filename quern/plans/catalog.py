@@ -457,6 +457,12 @@ def _(t):
     return q.convert_units(t.supplier, "s_acctbal", "degF", "degC", "c").select("s_suppkey", F.round("c", 6).alias("c"))
 
 
+@query("convert_compound_units", "SELECT s_suppkey, round(s_acctbal * 3.6, 6) AS v, round(s_acctbal * 1000 / 4.184, 6) AS e FROM supplier")
+def _(t):
+    d = q.convert_units(q.convert_units(t.supplier, "s_acctbal", "m/s", "km*hour**-1", "v"), "s_acctbal", "kg*m**2/s**2", "mcal", "e")
+    return d.select("s_suppkey", F.round("v", 6).alias("v"), F.round("e", 6).alias("e"))
+
+
 @query("inflate_currency", "SELECT s_suppkey, round(s_acctbal * (120.0 / 80.0)::DOUBLE, 6) AS s_acctbal_2020 FROM supplier")
 def _(t):
     d = q.inflate_currency(t.supplier, "s_acctbal", "X", 2010, 2020, {("X", 2010): 80.0, ("X", 2020): 120.0}, make_new_column=True)

@@ -319,3 +319,15 @@ def test_numbers_of_rows(spark):
     assert len(d.select(plan.alias("p"))._jdf.queryExecution().optimizedPlan().toString()) < 200_000
     x = d.select("v", plan.alias("p")).where("v = 500").first()
     assert abs(x["p"] - 0.5) < 1e-14
+
+
+def test_units(spark):
+    from quern.operators.domain import _unit as unit
+
+    for a, b in (("kN", "kg*km/s**2"), ("kWh", "3.6*MJ"), ("Pa", "N/m**2"), ("Hz", "1/s"), ("mV", "m*m*kg/s^3/A/1000"), ("L", "dm**3")):
+        assert unit(a)[0] == unit(b)[0] and math.isclose(unit(a)[1], unit(b)[1], rel_tol=1e-12), (a, b)
+    d = spark.createDataFrame([(20.0,)], "x double")
+    assert abs(q.convert_units(d, "x", "degC", "K", "y").first()["y"] - 293.15) < 1e-9
+    for a, b in (("m", "s"), ("m", "zz"), ("m**0.5", "m"), ("m+s", "m"), ("import", "m")):
+        with pytest.raises(ValueError):
+            q.convert_units(d, "x", a, b, "y")
