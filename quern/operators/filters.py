@@ -164,8 +164,11 @@ def get_dupes(df: DataFrame, column_names: Any = None) -> DataFrame:
     no_stream(df, "get_dupes")
     keys = listed(column_names) or df.columns
     check_column(df, keys)
-    (n,) = free(df, "n")
-    return df.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*[col(k) for k in keys]))).where(F.col(n) > 1).drop(n)
+    tmp = free(df, *[f"k{i}_" for i in range(len(keys))])
+    (n,) = free(df, "n_")
+    # keys are counted where their rows lie; rows of a key that stands very often aren't gathered
+    many = df.groupBy(*[col(k).alias(t) for k, t in zip(keys, tmp)]).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).drop(n)
+    return df.join(many, reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, tmp)]), "left_semi")
 
 
 def _sorted(names: list[str], ascending: bool | list[bool]) -> list:
