@@ -91,8 +91,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edge = hist.withColumn("cum", cum).join(F.broadcast(lefts) if len(by) < 100_000 else lefts, F.col(src).eqNullSafe(F.col(src + "_"))).where("left_ > 0 and cum >= left_ and cum - n < left_").select(F.col(src + "_"), "bin", (F.col("left_") - (F.col("cum") - F.col("n"))).alias("take"))
     edge = keep(edge, "mix-edge").withColumnRenamed("bin", "bin_")
     at = binned.join(small_side(edge, 48), F.col(src).eqNullSafe(F.col(src + "_")) & (F.col("bin") == F.col("bin_")))
-    rank = F.row_number().over(Window.partitionBy(src).orderBy(key, F.col(idk).asc_nulls_first()))
-    last = keep(at.withColumn("rank", rank).where("rank = take").select(src, F.struct(key, F.col(idk).alias("id")).alias("last")), "mix-last")
+    # rows that are equal in key and id are counted before they meet in a task
+    equal = at.groupBy(src, key, idk).agg(F.count(F.lit(1)).alias("n"), F.first("take").alias("take"))
+    up_to = F.sum("n").over(Window.partitionBy(src).orderBy(key, F.col(idk).asc_nulls_first()))
+    last = keep(equal.withColumn("rank", up_to).where("rank >= take and rank - n < take").select(src, F.struct(key, F.col(idk).alias("id")).alias("last")), "mix-last")
     # a source that takes all it has with a chance above 0 has no edge
     got = {r[src]: r["last"] for r in last.collect()}
     plan = spark.createDataFrame([(r[src], want[r[src]], r["w"], left[r[src]], got[r[src]][key] if r[src] in got else None, got[r[src]]["id"] if r[src] in got else None) for r in by], f"`{src}` string, `{k}` long, w long, left_ long, last_key double, last_id {kind}")
