@@ -40,6 +40,8 @@ from .textbuf import slices, word_hashes
 WINDOW, K, DIMS, WIDTH, CELL, SCALE = 2048, 8, 128, 128, 1024, 1_000_000
 #: Share of true neighbours to find, cells searched at least, nodes of a region, nodes that are compared with all others.
 RECALL, LEAST, REGION, SAMPLE = 0.93, 32, 40960, 512
+#: Nodes at most (up to a cell) whose neighbours one task searches, numbers of a table of closeness that are held at once.
+SEARCH, ROOM = 163840, 1 << 20
 #: Links between ends of paths that one task may take.
 TAIL = 1 << 17
 #: What 32-bit products may be wrong by; pairs within it are compared again in whole numbers.
@@ -55,7 +57,12 @@ def features(h: np.ndarray, first: np.ndarray, width: int = WIDTH) -> np.ndarray
 
 
 def _units(raw: list[bytes], width: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width).astype(np.float64)
+    return _points(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width))
+
+
+def _points(f: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """Features at length one."""
+    x = f.astype(kind)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -112,11 +119,17 @@ def _close(x: np.ndarray, cent: np.ndarray) -> np.ndarray:
     return x @ cent.T - (cent * cent).sum(1) / 2
 
 
-def _probed(x: np.ndarray, cent: np.ndarray, probes: int) -> np.ndarray:
-    """(points, probes): the cells that each point searches."""
-    if probes >= len(cent):
-        return np.tile(np.arange(len(cent)), (len(x), 1))
-    return np.concatenate([np.argpartition(-_close(x[i : i + 2048], cent), probes - 1, axis=1)[:, :probes] for i in range(0, len(x), 2048)]) if len(x) else np.zeros((0, probes), np.int64)
+def _steps(x: np.ndarray, cent: np.ndarray):
+    """Points by so many at a time that their closeness to all centroids takes ``ROOM`` numbers: (first point, closeness)."""
+    step = max(1, ROOM // len(cent))
+    for lo in range(0, len(x), step):
+        yield lo, _close(x[lo : lo + step], cent)
+
+
+def _last(close: np.ndarray, probes: int) -> np.ndarray:
+    """(points,): the closeness of the last cell that each point searches."""
+    at = max(0, close.shape[1] - probes)
+    return np.partition(close, at, axis=1)[:, at].copy()  # a view would hold the whole table
 
 
 def celled(nodes: DataFrame, cent: np.ndarray) -> DataFrame:
@@ -128,7 +141,8 @@ def celled(nodes: DataFrame, cent: np.ndarray) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x = _units(b.column("f").to_pylist(), width).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_close(x, shared.value).argmax(1).astype(np.int32))], names=[*names, "cell"])
+                cell = np.concatenate([close.argmax(1) for _, close in _steps(x, shared.value)])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], names=[*names, "cell"])
 
     names = nodes.columns
     return nodes.mapInArrow(run, T.StructType([*nodes.schema.fields, T.StructField("cell", T.IntegerType())]))
@@ -149,8 +163,8 @@ def probes_for(nodes: DataFrame, count: int, cent: np.ndarray, k: int, recall: f
         mine, x = shared.value
         best, where = np.full((len(x), k), -np.inf, np.float32), np.full((len(x), k), -1, np.int32)
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
                 s = x @ _units(part.column("f").to_pylist(), width).astype(np.float32).T
                 s[mine[:, None] == np.asarray(part.column("nid"))[None, :]] = -np.inf
                 s = np.concatenate([best, s], axis=1)
@@ -167,87 +181,139 @@ def probes_for(nodes: DataFrame, count: int, cent: np.ndarray, k: int, recall: f
 
 
 class Nearest:
-    """The k nearest targets of each query so far, by whole-number distance and then by number."""
+    """The k nearest targets of each query so far, by whole-number distance and then by number. Queries are sorted by cell.
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, k: int):
-        self.x, self.z, self.ids, self.k = x.astype(np.float32), _whole(x), ids, k
-        self.d, self.b = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+    A query takes its features' bytes and some 200 more, what is looked at a bounded room: neither coordinates nor a list of
+    the cells that a query asks are held.
+    """
 
-    def look(self, at: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
-        """Compare the queries ``at`` with the targets."""
-        t, z = x.astype(np.float32).T, _whole(x)
+    def __init__(self, f: np.ndarray, ids: np.ndarray, home: np.ndarray, cent: np.ndarray, probes: int, k: int):
+        self.f, self.ids, self.home, self.cent, self.k = f, ids, home, cent, k
+        self.d, self.b = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.cell = np.zeros((len(ids), k), np.int32)
+        step = max(1, ROOM // len(cent))
+        self.bound = np.concatenate([_last(_close(_points(f[i : i + step], np.float32), cent), probes) for i in range(0, len(f), step)]) - np.float32(EPS)
+        names, first = np.unique(home, return_index=True)
+        parts = list(zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(home)]))
+        for cell, lo, hi in parts:  # a node's own cell first: it bounds the others
+            self.look(np.arange(lo, hi), f[lo:hi], ids[lo:hi], cell)
+        for i in range(0, len(parts), 16):
+            for (cell, lo, hi), asking in zip(parts[i : i + 16], self.asking(names[i : i + 16])):
+                self.look(asking[home[asking] != cell], f[lo:hi], ids[lo:hi], cell)
+
+    def asking(self, cells: np.ndarray) -> list[np.ndarray]:
+        """The queries that search each of a few cells."""
+        c = self.cent[cells]
+        close = np.concatenate([c @ _points(self.f[i : i + 4096], np.float32).T for i in range(0, len(self.f), 4096)], axis=1)
+        return [np.flatnonzero(x >= self.bound + h) for x, h in zip(close, (c * c).sum(1) / 2)]
+
+    def look(self, at: np.ndarray, f: np.ndarray, ids: np.ndarray, cell: int) -> None:
+        """Compare the queries ``at`` with targets of a cell."""
+        for part in range(0, len(ids), 2048):
+            self._look(at, f[part : part + 2048], ids[part : part + 2048], cell)
+
+    def _look(self, at: np.ndarray, f: np.ndarray, ids: np.ndarray, cell: int) -> None:
+        t = _points(f, np.float32).T
         for lo in range(0, len(at), 2048):
             q = at[lo : lo + 2048]
-            s = self.x[q] @ t
+            s = _points(self.f[q], np.float32) @ t
             least = 1 - self.d[q, -1] / (2.0 * SCALE * SCALE)
             if s.shape[1] > self.k + 1 and np.isinf(least).any():
                 new = np.isinf(least)
                 least[new] = np.partition(s[new], s.shape[1] - self.k - 1, axis=1)[:, s.shape[1] - self.k - 1]
             hit = np.flatnonzero(s >= (least - EPS).astype(np.float32)[:, None])
-            for h in range(0, len(hit), 1 << 16):
-                i, j = np.divmod(hit[h : h + (1 << 16)], s.shape[1])
+            for h in range(0, len(hit), 1 << 13):
+                i, j = np.divmod(hit[h : h + (1 << 13)], s.shape[1])
                 other = self.ids[q[i]] != ids[j]
                 i, j = i[other], j[other]
-                self._merge(q[i], ((self.z[q[i]] - z[j]) ** 2).sum(1), ids[j])
+                self._merge(q[i], ((_whole(_points(self.f[q[i]])) - _whole(_points(f[j]))) ** 2).sum(1), ids[j], cell)
 
-    def _merge(self, i: np.ndarray, d: np.ndarray, b: np.ndarray) -> None:
+    def _merge(self, i: np.ndarray, d: np.ndarray, b: np.ndarray, cell: int) -> None:
         rows = np.unique(i)
+        c = np.concatenate([np.full(len(i), cell, np.int32), self.cell[rows].ravel()])
         i = np.concatenate([i, np.repeat(rows, self.k)])
         d, b = np.concatenate([d, self.d[rows].ravel()]), np.concatenate([b, self.b[rows].ravel()])
         order = np.lexsort((b, d, i))
         i = i[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
         top = place < self.k
-        self.d[i[top], place[top]], self.b[i[top], place[top]] = d[order][top], b[order][top]
+        self.d[i[top], place[top]], self.b[i[top], place[top]], self.cell[i[top], place[top]] = d[order][top], b[order][top], c[order][top]
 
-    def links(self) -> pa.Table:
-        i, j = np.nonzero(np.isfinite(self.d))
-        return pa.table([pa.array(self.ids[i]), pa.array(self.b[i, j]), pa.array(self.d[i, j])], names=["a", "b", "d"])
+    def links(self, region: np.ndarray):
+        for lo in range(0, len(self.ids), 1 << 13):
+            i, j = np.nonzero(np.isfinite(self.d[lo : lo + (1 << 13)]))
+            i += lo
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (self.ids[i], self.b[i, j], self.d[i, j], region[self.home[i]], region[self.cell[i, j]])], names=["a", "b", "d", "ra", "rb"])
 
 
-def neighbours(nodes: DataFrame, cent: np.ndarray, region: np.ndarray, probes: int, k: int) -> DataFrame:
-    """(a, b, d, ra, rb): the k nearest nodes b of each node a among those of the ``probes`` cells it searches, with their squared distance and both regions."""
+def searched(batches, cent: np.ndarray, region: np.ndarray, probes: int, k: int):
+    """Links of the nodes of a block (away 0), which come first, to each other and to the nodes of other cells (away 1), which follow cell by cell; then those of the next block."""
     width = cent.shape[1]
-    shared = nodes.sparkSession.sparkContext.broadcast((cent, region))
+    mine: list[tuple] = []
+    near, now = None, None
+
+    def begun() -> Nearest:
+        f, ids, home = (np.concatenate(x) for x in zip(*mine))
+        mine.clear()
+        return Nearest(f, ids, home, cent, probes, k)
+
+    for b in batches:
+        at, away, cell, ids = (np.asarray(b.column(c)) for c in ("block", "away", "cell", "nid"))
+        cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(away) != 0)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+            if lo == hi:
+                continue
+            if now is not None and at[lo] != now:
+                yield from (near or begun()).links(region)
+                near = None
+            now = at[lo]
+            f = np.frombuffer(b"".join(b.column("f").slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, width)
+            if not away[lo]:
+                mine.append((f, ids[lo:hi].copy(), cell[lo:hi].copy()))
+                continue
+            near = near or begun()
+            names, first = np.unique(cell[lo:hi], return_index=True)
+            end = [*first[1:].tolist(), hi - lo]
+            for i in range(0, len(names), 16):
+                for name, x, y, who in zip(names[i : i + 16].tolist(), first[i : i + 16].tolist(), end[i : i + 16], near.asking(names[i : i + 16])):
+                    near.look(who, f[x:y], ids[lo + x : lo + y], name)
+    if now is not None:
+        yield from (near or begun()).links(region)
+
+
+def neighbours(nodes: DataFrame, cent: np.ndarray, region: np.ndarray, block: np.ndarray, probes: int, k: int) -> DataFrame:
+    """(a, b, d, ra, rb): the k nearest nodes b of each node a among those of the ``probes`` cells it searches, with their squared distance and both regions.
+
+    One task has the nodes of a block of adjacent cells (``block`` by cell) and reads the nodes of all other cells that they
+    search as a stream sorted by cell, so it never holds more of the table than its block.
+    """
+    width, blocks = cent.shape[1], int(block.max()) + 1
+    shared = nodes.sparkSession.sparkContext.broadcast((cent, region, block))
 
     def wanted(batches):
-        cent, region = shared.value
-        seen: set[tuple[int, int]] = set()
+        cent, _, block = shared.value
+        asked = np.zeros((blocks, len(cent)), bool)
         for b in batches:
             if b.num_rows:
-                cells = _probed(_units(b.column("f").to_pylist(), width).astype(np.float32), cent, probes)
-                key = np.unique(region[np.asarray(b.column("cell"))][:, None] * len(cent) + cells)
-                seen |= set(zip((key // len(cent)).tolist(), (key % len(cent)).tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in seen], pa.int64()), pa.array([c for _, c in seen], pa.int32())], names=["region", "cell"])
-
-    wants = keep(nodes.select("f", "cell").mapInArrow(wanted, "region bigint, cell int").distinct(), "wants")
-    copies = nodes.select("cell", "nid", "f").join(small_side(wants, 24), "cell").select(*(F.col(c).alias(c) for c in ("region", "cell", "nid", "f")))
-
-    def search(key, left, right):
-        cent, region = shared.value
-        near = Nearest(_units(right.column("f").to_pylist(), width), np.asarray(right.column("nid")), k)
-        home, cell, ids, raw = np.asarray(right.column("cell")), np.asarray(left.column("cell")), np.asarray(left.column("nid")), left.column("f").combine_chunks()
-        at = np.argsort(cell, kind="stable")
-        names, first = np.unique(cell[at], return_index=True)
-        part = dict(zip(names.tolist(), np.split(at, first[1:])))
-        ask = _probed(near.x, cent, probes)
-        who = np.repeat(np.arange(len(home)), ask.shape[1])
-        flat = ask.ravel()
-        own = flat == home[who]
-        for use in (own, ~own):  # a node's own cell first: it bounds the others
-            w, c = who[use], flat[use]
-            order = np.argsort(c, kind="stable")
-            cells, begin = np.unique(c[order], return_index=True)
-            for name, asking in zip(cells.tolist(), np.split(w[order], begin[1:])):
-                if name in part:
-                    near.look(asking, _units(raw.take(pa.array(part[name])).to_pylist(), width), ids[part[name]])
-        links = near.links()
-        by = np.argsort(ids)
-        rb = region[cell[by[np.searchsorted(ids[by], np.asarray(links.column("b")))]]] if len(ids) else np.zeros(0, np.int64)
-        return links.append_column("ra", pa.array(np.full(links.num_rows, key[0].as_py(), np.int64))).append_column("rb", pa.array(rb.astype(np.int64)))
-
-    asking = nodes.select(*(F.col(c).alias(c) for c in ("region", "nid", "cell", "f")))
-    return copies.groupBy("region").cogroup(asking.groupBy("region")).applyInArrow(search, "a bigint, b bigint, d double, ra bigint, rb bigint")
+                x, home = _units(b.column("f").to_pylist(), width).astype(np.float32), block[np.asarray(b.column("cell"))]
+                for lo, close in _steps(x, cent):
+                    ask, of = close >= _last(close, probes)[:, None], home[lo : lo + len(close)]
+                    for i in np.unique(of).tolist():
+                        asked[i] |= ask[of == i].any(0)
+        asked[block, np.arange(len(cent))] = False  # a block's own cells are there
+        i, c = np.nonzero(asked)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(c.astype(np.int32))], names=["block", "cell"])
+
+    wants = keep(nodes.select("f", "cell").mapInArrow(wanted, "block int, cell int").distinct(), "wants")
+    copies = nodes.select("cell", "nid", "f").join(small_side(wants, 24), "cell").select("block", F.lit(1).alias("away"), "cell", "nid", "f")
+    asking = nodes.select("block", F.lit(0).alias("away"), "cell", "nid", "f")
+
+    def search(batches):
+        cent, region, _ = shared.value
+        yield from searched(batches, cent, region, probes, k)
+
+    sent = asking.unionByName(copies).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "away", "cell")
+    return sent.mapInArrow(search, "a bigint, b bigint, d double, ra bigint, rb bigint")
 
 
 def walk(ids: np.ndarray, degree: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> list[list[int]]:
@@ -343,7 +409,9 @@ def _inside(chains: DataFrame, live: DataFrame, blocks: int, regions: int) -> Da
     """Moves by the links inside blocks of chains, each block in its own greedy order."""
     block = lambda c: F.expr(f"{c} * {blocks} div {regions}")
     sent = live.where(block("ra") == block("rb")).select(block("ra").alias("at"), "a", "b", "d", "k")
-    used = chains.select(block("region").alias("at"), "chain", "x", "y", "n")
+    # a chain without a link inside its block doesn't move: as many chains as links go to a task at most
+    linked = live.where(block("ra") == block("rb")).select(F.explode(F.array("ca", "cb")).alias("chain")).distinct()
+    used = chains.join(linked, "chain", "left_semi").select(block("region").alias("at"), "chain", "x", "y", "n")
 
     def run(key, left, right):
         chain, x, y, n = (np.asarray(left.column(c)) for c in ("chain", "x", "y", "n"))
@@ -449,11 +517,11 @@ def _graph(docs: DataFrame, id_col: str, text_col: str, k: int, width: int, cell
     size = np.zeros(len(cent), np.int64)
     for r in nodes.groupBy("cell").count().collect():
         size[r["cell"]] = r["count"]
-    region = (np.cumsum(size) - size) // REGION
-    names = docs.sparkSession.createDataFrame([(i, int(r)) for i, r in enumerate(region)], "cell int, region bigint")
+    region, block = ((np.cumsum(size) - size) // most for most in (REGION, min(max(REGION, count // 16), SEARCH)))
+    names = docs.sparkSession.createDataFrame([(i, int(r), int(b)) for i, (r, b) in enumerate(zip(region, block))], "cell int, region bigint, block int")
     probes = probes_for(nodes, count, cent, k)
     nodes = nodes.join(small_side(names, 16), "cell")
-    return points, parts, nodes, keep(neighbours(nodes, cent, region, probes, k), "links"), len(cent), probes
+    return points, parts, nodes, keep(neighbours(nodes, cent, region, block, probes, k), "links"), len(cent), probes
 
 
 def graph(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = WIDTH, cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame, int]:
