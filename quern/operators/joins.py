@@ -7,6 +7,10 @@ residual). Without equalities:
   interval's length gives its level, a power of two not below it, and it is copied to the two buckets of
   that width it can touch; a point is copied once to each level there is. So each pair is found once, by one equi-join, however
   intervals of different lengths are mixed;
+- the first or last match of a point in intervals, whether there is one, and how many there are, are found without
+  pairs: values that repeat count once, the line is cut into chunks of bounded numbers of ends and points, an interval is
+  cut at the borders of its first and last chunk, and what covers whole chunks is added up by chunk (`_swept`). Work is
+  of the size of the tables, however many pairs there are;
 - the first or last match of a single inequality is a running minimum over both sides sorted by the
   compared value (equalities may be there, too); no pairs are made;
 - whether any row matches a single inequality is a comparison with the other side's least or greatest value.
@@ -21,6 +25,8 @@ import math
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,6 +147,118 @@ def _bucketed(L: DataFrame, R: DataFrame, plan: tuple, cond: Column, width: floa
     return pts.join(mine, (F.col("level_") == F.col("s_level")) & (F.col("bucket_") == F.col("s_bucket")) & cond).select(*L.columns, *R.columns)
 
 
+#: Points and ends of intervals a chunk of the number line has, about; one task sweeps a chunk at a time.
+CHUNK = 1 << 19
+
+
+def _line(conditions: tuple, L: DataFrame, R: DataFrame) -> tuple | None:
+    """(left column, (low column, operator), (high column, operator), type to compare in), where a match is an interval of the right side that the left row's value lies in."""
+    by = {("low" if op in (">", ">=") else "high" if op in ("<", "<=") else ""): (a, b, op) for a, b, op in conditions}
+    if len(conditions) != 2 or set(by) != {"low", "high"} or by["low"][0] != by["high"][0]:
+        return None
+    (a, lo, lo_op), (_, hi, hi_op) = by["low"], by["high"]
+    types = [L.schema[a].dataType, R.schema[lo].dataType, R.schema[hi].dataType]
+    whole = all(isinstance(t, T.IntegralType) for t in types)
+    if not whole and types[1] != types[2]:
+        return None
+    t = T.LongType() if whole else L.select(col(a).alias("v_")).union(R.select(col(lo).alias("v_"))).schema["v_"].dataType
+    known = isinstance(t, (T.IntegralType, *FLOATS, T.DateType, T.TimestampType, T.TimestampNTZType)) or isinstance(t, T.DecimalType) and t.precision <= 18
+    return (a, (lo, lo_op), (hi, hi_op), t) if known else None
+
+
+def _coded(d: DataFrame, name: str, t: T.DataType) -> Column:
+    """The column as a long or double of the same order as in type ``t``."""
+    c = _value(col(name), d.schema[name].dataType).cast(t)
+    if isinstance(t, FLOATS):
+        return c.cast("double") + F.lit(0.0)
+    if isinstance(t, T.DecimalType):
+        return (c * F.lit(10**t.scale).cast("decimal(19, 0)")).cast("long")
+    if isinstance(t, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(t, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    return F.unix_micros(c) if isinstance(t, T.TimestampType) else c
+
+
+def _place(v: Column, borders: list, first: int = 0) -> Column:
+    """How many of the sorted borders aren't above ``v``."""
+    if not borders:
+        return F.lit(first)
+    m = len(borders) // 2
+    return F.when(v < F.lit(borders[m]), _place(v, borders[:m], first)).otherwise(_place(v, borders[m + 1 :], first + m + 1))
+
+
+def _covering(places: int, a: np.ndarray, b: np.ndarray, times: np.ndarray, rank: np.ndarray, least: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``places``: how many spans [a, b) cover it, and the least (else greatest) rank of one that does.
+
+    A span is two blocks, which may overlap, of the power of two that fits into it; blocks hand their best to their halves.
+    """
+    pick, none = (np.minimum, np.iinfo(np.int64).max) if least else (np.maximum, np.iinfo(np.int64).min)
+    steps, best = np.zeros(places + 1, np.int64), np.full(places, none, np.int64)
+    np.add.at(steps, a, times)
+    np.subtract.at(steps, b, times)
+    level = np.frexp((b - a).astype(np.float64))[1] - 1
+    for k in range(int(level.max()) if len(level) else -1, -1, -1):
+        i, width = level == k, 1 << k
+        handed = best.copy()
+        if width < places:
+            pick(best[width:], handed[:-width], out=best[width:])
+        pick.at(best, a[i], rank[i])
+        pick.at(best, b[i] - width, rank[i])
+    return np.cumsum(steps)[:places], best
+
+
+def _swept(points: DataFrame, spans: DataFrame, lo_op: str, hi_op: str, least: bool) -> DataFrame:
+    """(v_, n_, rank_): values of ``points`` that lie in any of ``spans`` (lo_, hi_, rank_), with the number of these and their least (else greatest) rank; written once."""
+    take = F.min if least else F.max
+    points = stable(points.where("v_ is not null").distinct())
+    spans = stable(spans.where("lo_ <= hi_").groupBy("lo_", "hi_").agg(F.count(F.lit(1)).alias("n_"), take("rank_").alias("rank_")))
+    kind = points.schema["v_"].dataType.simpleString()
+    borders, wanted = [], math.ceil((points.count() + 2 * spans.count()) / CHUNK)
+    if wanted > 1:
+        ends = points.union(spans.select("lo_")).union(spans.select("hi_"))
+        borders = sorted(set(ends.agg(F.percentile_approx("v_", [i / wanted for i in range(1, wanted)], 20 * wanted)).first()[0]))
+    chunks = len(borders) + 1
+    points = points.withColumn("chunk_", _place(F.col("v_"), borders))
+    spans = spans.withColumns({"from_": _place(F.col("lo_"), borders), "to_": _place(F.col("hi_"), borders)})
+    piece = lambda at, lo, hi: F.struct(F.col(at).alias("chunk_"), (F.col("lo_") if lo else F.lit(None).cast(kind)).alias("lo_"), (F.col("hi_") if hi else F.lit(None).cast(kind)).alias("hi_"))
+    cut = F.when(F.col("from_") == F.col("to_"), F.array(piece("from_", True, True))).otherwise(F.array(piece("from_", True, False), piece("to_", False, True)))
+    pieces = spans.select(F.inline(cut), "n_", "rank_").groupBy("chunk_", "lo_", "hi_").agg(F.sum("n_").alias("n_"), take("rank_").alias("rank_"))
+    whole_n, whole_rank = np.zeros(chunks, np.int64), np.full(chunks, np.iinfo(np.int64).max if least else np.iinfo(np.int64).min, np.int64)
+    if chunks > 2:
+        # chunks that intervals cover whole: blocks of powers of two and steps of the number, a few rows a chunk
+        level = F.length(F.bin(F.col("to_") - F.col("from_") - 1)) - 1
+        block = lambda k, at, n, rank: F.struct(k.alias("k_"), at.alias("at_"), n.alias("n_"), rank.alias("rank_"))
+        nothing, a, b, zero = F.lit(None).cast("long"), F.col("from_") + 1, F.col("to_"), F.lit(0).cast("long")
+        blocks = F.array(block(F.lit(-1), a, F.col("n_"), nothing), block(F.lit(-1), b, -F.col("n_"), nothing), block(level, a, zero, F.col("rank_")), block(level, (b - F.pow(F.lit(2), level)).cast("int"), zero, F.col("rank_")))
+        got = spans.where("to_ - from_ > 1").select(F.inline(blocks)).groupBy("k_", "at_").agg(F.sum("n_").alias("n_"), take("rank_").alias("rank_")).collect()
+        steps, full = np.zeros(chunks + 1, np.int64), [r for r in got if r["k_"] >= 0]
+        for r in got:
+            steps[r["at_"]] += r["n_"]
+        start = np.array([r["at_"] for r in full], np.int64)
+        whole_rank = _covering(chunks, start, start + np.array([1 << r["k_"] for r in full], np.int64), np.zeros(len(full), np.int64), np.array([r["rank_"] for r in full], np.int64), least)[1]
+        whole_n = np.cumsum(steps)[:chunks]
+
+    def sweep(here: pa.Table, over: pa.Table) -> pa.Table:
+        v = np.sort(here["v_"].to_numpy())
+        c = here["chunk_"][0].as_py() if len(v) else 0
+        at = lambda name, op, left, beyond: np.where(over[name].is_null().to_numpy(), beyond, np.searchsorted(v, over[name].fill_null(0).to_numpy(), "left" if op == left else "right")).astype(np.int64)
+        a, b = at("lo_", lo_op, ">=", 0), at("hi_", hi_op, "<", len(v))
+        some = a < b
+        n, rank = _covering(len(v), a[some], b[some], over["n_"].to_numpy()[some], over["rank_"].to_numpy()[some], least)
+        n, rank = n + whole_n[c], (np.minimum if least else np.maximum)(rank, whole_rank[c])
+        return pa.table({"v_": v[n > 0], "n_": n[n > 0], "rank_": rank[n > 0]})
+
+    return stable(points.groupBy("chunk_").cogroup(pieces.groupBy("chunk_")).applyInArrow(sweep, f"v_ {kind}, n_ bigint, rank_ bigint"))
+
+
+def _inside(L: DataFrame, R: DataFrame, line: tuple, rank: Column, least: bool = True) -> tuple[DataFrame, DataFrame]:
+    """L with its value as ``at_``, and _swept of these and R's intervals."""
+    a, (lo, lo_op), (hi, hi_op), t = line
+    L = L.withColumn("at_", _coded(L, a, t))
+    return L, _swept(L.select(F.col("at_").alias("v_")), R.select(_coded(R, lo, t).alias("lo_"), _coded(R, hi, t).alias("hi_"), rank.alias("rank_")), lo_op, hi_op, least)
+
+
 def _parts(conditions: tuple, L: DataFrame, R: DataFrame) -> Column:
     return reduce(lambda x, y: x & y, [_condition(op, _value(col(a), L.schema[a].dataType), _value(col(b), R.schema[b].dataType)) for a, b, op in conditions])
 
@@ -177,6 +295,10 @@ def _exists(L: DataFrame, R: DataFrame, conditions: tuple, anti: bool, range_wid
         return out.where(~hit if anti else hit).select(*L.columns)
     if plan is None:
         return L.join(R, _parts(conditions, L, R), how)
+    line = _line(conditions, L, R)
+    if line:
+        L, found = _inside(stable(L), R, line, F.lit(0).cast("long"))
+        return L.join(found, F.col("at_") == F.col("v_"), how).drop("at_")
     point_left = plan[0] == "left"
     if not point_left:
         L = stable(L.withColumn("lid", F.monotonically_increasing_id()))
@@ -256,18 +378,30 @@ def conditional_join(df: DataFrame, right: DataFrame, *conditions: tuple[str, st
         L, R = L.select(*used(lname, lcols, 0, left_order_by)), R.select(*used(rname, rcols, 1, order_by))
     unmatched_left, unmatched_right = how in ("left", "outer"), how in ("right", "outer")
     interval = range_width is not None and _interval(conds, L, R)
+    line = _line(conds, L, R) if interval and keep != "all" else None
     single = keep != "all" and len(_split(conds)[1]) == 1 and _split(conds)[1][0][2] != "!=" and _sortable(R) and _sortable(L)
     if keep != "all" or unmatched_right and interval:
-        if unmatched_right or order_by is None and keep != "all":
+        if line and order_by is not None:
+            R = numbered(R, "rk", named(rname, order_by))
+        elif unmatched_right or order_by is None and keep != "all":
             R = stable(R.withColumn("rk", F.monotonically_increasing_id()))
         if keep != "all":
             R = R.withColumn("rid", F.struct(*named(rname, order_by)) if order_by is not None else F.col("rk"))
-    if (keep != "all" and not single) or unmatched_left and interval:
+    if line:
+        L = L if left_order_by is not None else stable(L)
+    elif (keep != "all" and not single) or unmatched_left and interval:
         L = L.withColumn("lid", F.struct(*named(lname, left_order_by))) if left_order_by is not None else stable(L.withColumn("lid", F.monotonically_increasing_id()))
     mark = lambda d, *flags: d.withColumns({f: F.lit(1) for f in flags})
     rest = [c for c in R.columns]
     if keep == "all" and not interval:
         both = mark(L, "lf").join(mark(R, "rf"), _parts(conds, L, R), {"outer": "full_outer"}.get(how, how))
+    elif line:
+        L, found = _inside(L, R, line, F.col("rk"), keep == "first")
+        best = found.join(R.select(F.col("rk").alias("rank_"), F.struct(*[col(c) for c in rest]).alias("best")), "rank_").select("v_", "best")
+        both = L.join(best, F.col("at_") == F.col("v_"), "left" if unmatched_left else "inner")
+        both = both.select(*L.columns, F.lit(1).alias("lf"), F.when(F.col("best").isNotNull(), 1).alias("rf"), *[F.col("best")[c].alias(c) for c in rest])
+        if unmatched_right:
+            both = both.unionByName(mark(R.join(found.select(F.col("rank_").alias("rk")), "rk", "left_anti"), "rf"), allowMissingColumns=True)
     elif single:
         got = _nearest(L, R, conds, keep)
         got = got if unmatched_left else got.where("best is not null")
