@@ -252,6 +252,12 @@ def _swept(points: DataFrame, spans: DataFrame, lo_op: str, hi_op: str, least: b
     return stable(points.groupBy("chunk_").cogroup(pieces.groupBy("chunk_")).applyInArrow(sweep, f"v_ {kind}, n_ bigint, rank_ bigint"))
 
 
+def _sized(few: DataFrame, rows: int) -> DataFrame:
+    """The side of a join that has ``rows`` rows: broadcast if they surely take no more than 32 MB, else merged, whatever a plan's estimates say."""
+    fields = lambda t: sum(fields(f.dataType) for f in t.fields) if isinstance(t, T.StructType) else 1 if isinstance(t, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) else math.inf
+    return F.broadcast(few) if rows * (64 + 16 * fields(few.schema)) <= 1 << 25 else few.hint("merge")
+
+
 def _inside(L: DataFrame, R: DataFrame, line: tuple, rank: Column, least: bool = True) -> tuple[DataFrame, DataFrame]:
     """L with its value as ``at_``, and _swept of these and R's intervals."""
     a, (lo, lo_op), (hi, hi_op), t = line
@@ -298,7 +304,7 @@ def _exists(L: DataFrame, R: DataFrame, conditions: tuple, anti: bool, range_wid
     line = _line(conditions, L, R)
     if line:
         L, found = _inside(stable(L), R, line, F.lit(0).cast("long"))
-        return L.join(found, F.col("at_") == F.col("v_"), how).drop("at_")
+        return L.join(_sized(found.select("v_"), found.count()), F.col("at_") == F.col("v_"), how).drop("at_")
     point_left = plan[0] == "left"
     if not point_left:
         L = stable(L.withColumn("lid", F.monotonically_increasing_id()))
@@ -345,7 +351,7 @@ def _sortable(d: DataFrame) -> bool:
     return all(plain(f.dataType) for f in d.schema.fields)
 
 
-def conditional_join(df: DataFrame, right: DataFrame, *conditions: tuple[str, str, str], how: str = "inner", df_columns: Any = slice(None), right_columns: Any = slice(None), keep: str = "all", indicator: bool | str = False, use_numba: bool = False, force: bool = False, order_by=None, left_order_by=None, range_width: float | str | None = "auto", suffixes: tuple[str, str] = ("left_", "right_")) -> DataFrame:
+def conditional_join(df: DataFrame, right: DataFrame, *conditions: tuple[str, str, str], how: str = "inner", df_columns: Any = slice(None), right_columns: Any = slice(None), keep: str = "all", indicator: bool | str = False, use_numba: bool = False, force: bool = False, order_by=None, left_order_by=None, range_width: float | str | None = "auto", suffixes: tuple[str, str] = ("left_", "right_"), matches: str | None = None) -> DataFrame:
     """Pairs of rows that meet all conditions (left column, right column, operator).
 
     ``keep`` first or last is by ``order_by`` on the right side, before outer rows are added: with right
@@ -354,15 +360,22 @@ def conditional_join(df: DataFrame, right: DataFrame, *conditions: tuple[str, st
     the prefixes ``suffixes``. ``range_width``: least width of the buckets for interval joins, "auto" (by the median of the intervals' lengths) or None (no
     rewrite). ``how`` may be left_semi or left_anti, too. A side that is read more than once by its rows' numbers is
     written once (see ``core.stable``); ``left_order_by``, a unique key, saves that for the left side. ``use_numba`` and ``force`` change nothing.
+    ``matches``, with ``keep`` first or last: a column with the number of right rows that meet the conditions, kept or not (0 for a left
+    row without any, null for a right row that comes back alone).
     """
     no_stream(df, "conditional_join")
     _checked(df, right, conditions, how, keep)
     check("indicator", indicator, [bool, str])
     if df_columns is None and right_columns is None:
         raise ValueError("no columns are left of either side")
+    check("matches", matches, [str, type(None)])
+    if matches is not None and (keep == "all" or how in ("left_semi", "left_anti")):
+        raise ValueError("matches are counted where the first or last is kept")
     flag = "_merge" if indicator is True else indicator or None
     if flag and flag in df.columns + right.columns:
         raise ValueError(f"the indicator's name {flag!r} is taken")
+    if matches is not None and matches in [*df.columns, *right.columns, flag]:
+        raise ValueError(f"the name {matches!r} is taken")
     lname, rname = {c: f"l{i}" for i, c in enumerate(df.columns)}, {c: f"r{i}" for i, c in enumerate(right.columns)}
     L, R = df.toDF(*lname.values()), right.toDF(*rname.values())
     conds = tuple((lname[a], rname[b], op) for a, b, op in conditions)
@@ -379,7 +392,7 @@ def conditional_join(df: DataFrame, right: DataFrame, *conditions: tuple[str, st
     unmatched_left, unmatched_right = how in ("left", "outer"), how in ("right", "outer")
     interval = range_width is not None and _interval(conds, L, R)
     line = _line(conds, L, R) if interval and keep != "all" else None
-    single = keep != "all" and len(_split(conds)[1]) == 1 and _split(conds)[1][0][2] != "!=" and _sortable(R) and _sortable(L)
+    single = keep != "all" and matches is None and len(_split(conds)[1]) == 1 and _split(conds)[1][0][2] != "!=" and _sortable(R) and _sortable(L)
     if keep != "all" or unmatched_right and interval:
         if line and order_by is not None:
             R = numbered(R, "rk", named(rname, order_by))
@@ -397,11 +410,12 @@ def conditional_join(df: DataFrame, right: DataFrame, *conditions: tuple[str, st
         both = mark(L, "lf").join(mark(R, "rf"), _parts(conds, L, R), {"outer": "full_outer"}.get(how, how))
     elif line:
         L, found = _inside(L, R, line, F.col("rk"), keep == "first")
-        best = found.join(R.select(F.col("rk").alias("rank_"), F.struct(*[col(c) for c in rest]).alias("best")), "rank_").select("v_", "best")
-        both = L.join(best, F.col("at_") == F.col("v_"), "left" if unmatched_left else "inner")
-        both = both.select(*L.columns, F.lit(1).alias("lf"), F.when(F.col("best").isNotNull(), 1).alias("rf"), *[F.col("best")[c].alias(c) for c in rest])
+        many = found.count()
+        best = R.select(F.col("rk").alias("rank_"), F.struct(*[col(c) for c in rest]).alias("best")).join(_sized(found, many), "rank_").select("v_", "n_", "best")
+        both = L.join(_sized(best, many), F.col("at_") == F.col("v_"), "left" if unmatched_left else "inner")
+        both = both.select(*L.columns, "n_", F.lit(1).alias("lf"), F.when(F.col("best").isNotNull(), 1).alias("rf"), *[F.col("best")[c].alias(c) for c in rest])
         if unmatched_right:
-            both = both.unionByName(mark(R.join(found.select(F.col("rank_").alias("rk")), "rk", "left_anti"), "rf"), allowMissingColumns=True)
+            both = both.unionByName(mark(R.join(_sized(found.select(F.col("rank_").alias("rk")), many), "rk", "left_anti"), "rf"), allowMissingColumns=True)
     elif single:
         got = _nearest(L, R, conds, keep)
         got = got if unmatched_left else got.where("best is not null")
@@ -413,6 +427,8 @@ def conditional_join(df: DataFrame, right: DataFrame, *conditions: tuple[str, st
         inner = L.join(R, cond) if inner is None else inner
         if keep != "all":
             w = Window.partitionBy("lid").orderBy(F.col("rid").asc() if keep == "first" else F.col("rid").desc())
+            if matches is not None:
+                inner = inner.withColumn("n_", F.count(F.lit(1)).over(Window.partitionBy("lid")))
             inner = inner.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
         both = mark(inner, "lf", "rf")
         if unmatched_left:
@@ -423,6 +439,8 @@ def conditional_join(df: DataFrame, right: DataFrame, *conditions: tuple[str, st
     out = [col(lname[c]).alias(suffixes[0] + c if c in clash else c) for c in lcols] + [col(rname[c]).alias(suffixes[1] + c if c in clash else c) for c in rcols]
     if flag:
         out.append(F.when(F.col("lf").isNull(), "right_only").when(F.col("rf").isNull(), "left_only").otherwise("both").alias(flag))
+    if matches is not None:
+        out.append(F.when(F.col("lf").isNotNull(), F.coalesce(F.col("n_"), F.lit(0).cast("long"))).alias(matches))
     return both.select(*out)
 
 

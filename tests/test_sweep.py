@@ -96,3 +96,39 @@ def test_many_values_over_chunks(spark, monkeypatch):
             left[v] = v + 1
             v = find(v + 1)
     assert got == want
+
+
+@pytest.mark.parametrize("keep, how, width, chunk", [("first", "outer", "auto", 3), ("last", "left", None, 3), ("last", "inner", "auto", 50)])
+def test_matches_are_counted(spark, monkeypatch, keep, how, width, chunk):
+    """With width None all pairs are made; the counts are the same."""
+    monkeypatch.setattr(joins, "CHUNK", chunk)
+    points, spans, a, b = tables(spark, "double", 5)
+    found = matches(points, spans, ">=", "<")
+    want = [(i, (min if keep == "first" else max)(js)[2], len(js)) for i, js in found.items() if js]
+    assert max(n for *_, n in want) > 1
+    kept = {j for _, j, _ in want}
+    want += [(i, None, 0) for i, js in found.items() if not js and how != "inner"]
+    want += [(None, s[0], None) for s in spans if s[0] not in kept and how == "outer"]
+    got = q.conditional_join(a, b, ("x", "lo", ">="), ("x", "hi", "<"), how=how, keep=keep, order_by=["g", "j"], df_columns="i", right_columns="j", matches="n", range_width=width)
+    assert got.columns == ["i", "j", "n"] and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_matches_errors(spark):
+    a = spark.createDataFrame([(1, 5)], "k long, v long")
+    b = a.toDF("m", "w")
+    for more in ({}, {"keep": "first", "how": "left_semi"}, {"keep": "first", "matches": "w"}):
+        with pytest.raises(ValueError):
+            q.conditional_join(a, b, ("v", "w", "<="), **{"matches": "n", **more})
+    assert q.conditional_join(a, b, ("v", "w", "<="), keep="first", order_by="m", df_columns="k", right_columns="m", matches="n").collect() == [(1, 1, 1)]
+
+
+def test_range_query_makes_no_pairs(spark, tmp_path):
+    """3,000 events of one value: 9 million pairs, which aren't rows of the plan; ids may repeat or be null."""
+    from quern.plans import catalog
+
+    rows = [(i, 1.0) for i in range(3000)] + [(7, 1.04), (None, 1.04), (None, 2.0), (9000, None)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["conditional_join_range"](spark, str(tmp_path))
+    assert "bucket_" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {i: (3000, 0) for i in range(3000)} | {7: (6002, 0), None: (3003, 0)}
+    assert {r["event_id"]: (r["n"], r["first_id"]) for r in got.collect()} == want
